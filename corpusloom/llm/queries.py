@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, mixing, packing, sharding, url_filter
+from corpusloom.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, sharding, url_filter
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sharding": sharding.op3_sharding,
     "op4_url_filter": url_filter.op4_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
