@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, sharding, url_filter
+from corpusloom.llm import exact_dedup, fingerprints, jaccard_join, language_crf, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sharding": sharding.op3_sharding,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_language_id": language_crf.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
