@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, fingerprints, jaccard_join, language_crf, mixing, packing, sharding, toxicity, url_filter
+from corpusloom.llm import exact_dedup, fingerprints, jaccard_join, language_crf, line_dedup, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sharding": sharding.op3_sharding,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_language_id": language_crf.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,

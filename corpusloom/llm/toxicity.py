@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.wordfeatures import bounded_sample, chunks, fold, lookup, ngrams, split_words, summed
 
 #: Labelled documents of either kind to learn from, windows of each for one epoch, words with a vector of their own.
-DOCS, WINDOWS_OF_DOC, VOCABULARY = 1000, 6, 6000
+DOCS, WINDOWS_OF_DOC, VOCABULARY = 700, 6, 6000
 SIZES, BUCKETS = (3, 4, 5), 1 << 15
 WINDOW, STRIDE = 48, 24
 DIM, HIDDEN = 12, 16
