@@ -1 +1,8 @@
+"""Queries by name and, where SQL can express them, their SQL for DuckDB."""
 
+from corpusloom.plans import documents
+
+ALL_QUERIES, ALL_ORACLE = {}, {}
+for _module in (documents,):
+    ALL_QUERIES |= _module.QUERIES
+    ALL_ORACLE |= _module.ORACLE
