@@ -31,6 +31,11 @@ EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 KEY_STOP_WORDS = ["the", "and", "for", "with", "from", "into", "using"]
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeezed(col: Column) -> Column:
     """Runs of white space become one blank; the ends are trimmed."""
     return F.btrim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))
@@ -138,21 +143,29 @@ def strip_markers(value: Column) -> Column:
 
 def clean_name(value: Column) -> Column:
     """GRF-1"""
-    x = strip_markers(value)
-    inner = F.substring(x, F.lit(2), F.length(x) - 2)
-    x = F.when(x.rlike(r"^\[[^\[\]]*\]$") | x.rlike(r"^\([^()]*\)$"), inner).otherwise(x)
-    opened, closed = F.length(F.regexp_replace(x, r"[^(]", "")), F.length(F.regexp_replace(x, r"[^)]", ""))
-    x = F.when(opened > closed, F.rtrim(F.rtrim(x, F.lit("(")))).when(closed > opened, F.rtrim(F.rtrim(x, F.lit(")")))).otherwise(x)
-    return F.btrim(x, F.lit(EDGE_PUNCTUATION))
+
+    def unwrapped(x: Column) -> Column:
+        return F.when(x.rlike(r"^\[[^\[\]]*\]$") | x.rlike(r"^\([^()]*\)$"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+    def balanced(x: Column) -> Column:
+        opened, closed = F.length(F.regexp_replace(x, r"[^(]", "")), F.length(F.regexp_replace(x, r"[^)]", ""))
+        cut_ = F.when(opened > closed, F.rtrim(F.rtrim(x, F.lit("(")))).when(closed > opened, F.rtrim(F.rtrim(x, F.lit(")")))).otherwise(x)
+        return F.btrim(cut_, F.lit(EDGE_PUNCTUATION))
+
+    return let(let(strip_markers(value), unwrapped), balanced)
 
 
 def name_variants(value: Column) -> Column:
     """GRF-2: the name, and its long and short form where it ends in an acronym."""
-    name = clean_name(value)
     pattern = r"^(.{4,}?)\s*\(([A-Za-z0-9][A-Za-z0-9\-/]{1,12}?)s?\)?\s*$"
-    long_, short = F.btrim(F.regexp_extract(name, pattern, 1)), F.btrim(F.regexp_extract(name, pattern, 2))
-    pair = (long_ != "") & (short != "") & (F.lower(long_) != F.lower(short))
-    return F.when(name == "", F.array().cast("array<string>")).when(pair, F.array_distinct(F.array(name, long_, short))).otherwise(F.array(name))
+
+    def forms(name: Column) -> Column:
+        both = F.struct(F.btrim(F.regexp_extract(name, pattern, 1)).alias("l"), F.btrim(F.regexp_extract(name, pattern, 2)).alias("s"))
+        pair = lambda x: (x["l"] != "") & (x["s"] != "") & (F.lower(x["l"]) != F.lower(x["s"]))
+        one = F.when(name == "", F.array().cast("array<string>")).otherwise(F.array(name))
+        return let(both, lambda x: F.when(pair(x), F.array_distinct(F.array(name, x["l"], x["s"]))).otherwise(one))
+
+    return let(clean_name(value), forms)
 
 
 def canonical_key(value: Column) -> Column:
@@ -160,11 +173,6 @@ def canonical_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(clean_name(value), F.lit(".,;: ")), r"(?i)^(?:the|an|a)\s+", ""))
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def caption(text: Column) -> Column:
     """DOC-13: kind, label and trimmed caption, or null. A roman number must end at a word boundary."""
     return let(squeezed(text), _caption)
