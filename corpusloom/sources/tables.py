@@ -12,13 +12,21 @@ from corpusloom.storage import cut
 
 
 def scan_binaries(spark: SparkSession, path: str, max_mb: float = 50, magic: bytes = b"%PDF-") -> DataFrame:
-    """SRC-1: files with what is wrong with them, null for accepted ones."""
+    """SRC-1: files with what is wrong with them, null for accepted ones.
+
+    Spark's file sources leave empty files out, so these come from the listing of the folder.
+    """
     files = spark.read.format("binaryFile").load(path)
-    reason = (
-        F.when(F.col("length") == 0, "empty file").when(F.col("length") > max_mb * 1024 * 1024, "too large")
-        .when(F.substring("content", 1, len(magic)) != F.lit(magic), "wrong type")
-    )
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", reason.alias("reason"), F.sha2("content", 256).alias("content_hash"), "content")
+    reason = F.when(F.col("length") > max_mb * 1024 * 1024, "too large").when(F.substring("content", 1, len(magic)) != F.lit(magic), "wrong type")
+    out = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", reason.alias("reason"), F.sha2("content", 256).alias("content_hash"), "content")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, False)
+    empty = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            empty.append((status.getPath().getName(), 0, "empty file", None, None))
+    return out.unionByName(spark.createDataFrame(empty, out.schema)) if empty else out
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
