@@ -44,8 +44,9 @@ def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     many = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
     text = np.repeat(np.arange(len(sizes)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    at = (starts[:-1][text] + nth * STRIDE)[:, None] + np.arange(WINDOW)
-    return np.where(at < starts[1:][text][:, None], at, -1), text
+    at = (starts[:-1][text] + nth * STRIDE).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    at[at >= starts[1:][text][:, None]] = -1
+    return at, text
 
 
 @dataclass
@@ -129,14 +130,22 @@ class Network:
             d_x[:-1] += d_gates[:-1] @ p[f"{d}_in"].T
         return g, d_x[:-1]
 
+    def logits(self, x: np.ndarray, at: np.ndarray, at_once: int = 2048) -> np.ndarray:
+        """``run`` over some windows at a time, each time with the words that occur in them."""
+        out = np.empty(len(at), np.float32)
+        for i in range(0, len(at), at_once):
+            used, back = np.unique(at[i : i + at_once], return_inverse=True)
+            padded = int(len(used) > 0 and used[0] == -1)
+            out[i : i + at_once] = self.run(x[used[padded:]], back.reshape(-1, WINDOW) - padded)
+        return out
+
     def document_logits(self, texts: pa.Array) -> np.ndarray:
         """The largest logit among all windows of each text."""
         distinct, code, starts = split_words(texts)
         x, _ = self.inputs(distinct) if len(distinct) else (np.zeros((0, 2 * DIM), np.float32), None)
         at, text = windows(starts)
         rows = np.where(at < 0, -1, code[at]) if len(code) else at
-        logits = np.concatenate([self.run(x, rows[i : i + 2048]) for i in range(0, len(rows), 2048)])
-        return np.maximum.reduceat(logits, np.searchsorted(text, np.arange(len(texts))))
+        return np.maximum.reduceat(self.logits(x, rows), np.searchsorted(text, np.arange(len(texts))))
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 3, epochs: int = 6, batch: int = 192) -> Network:
@@ -146,14 +155,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, epochs: int = 6, ba
     rng = np.random.default_rng(seed)
     y, apart = np.array(toxic), np.arange(len(texts)) % 6 == 5
     distinct, code, starts = split_words(pa.array(texts, pa.string()))
-    documents = np.unique(np.column_stack([code, np.repeat(np.arange(len(texts)), np.diff(starts))]), axis=0)[:, 0]
+    documents = np.unique(code.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), np.diff(starts))) // max(len(texts), 1)
     frequency = np.bincount(documents, minlength=len(distinct))
+    del documents
     top = np.argsort(-frequency, kind="stable")[:VOCABULARY]
     net = Network(distinct.take(pa.array(top[frequency[top] >= 4]))).start(seed)
     x_codes, x_starts = ngrams(distinct, SIZES, BUCKETS)
     row, by, per_word = lookup(distinct, net.vocabulary), (1 / np.sqrt(np.maximum(np.diff(x_starts), 1))).astype(np.float32)[:, None], np.diff(x_starts)
     at, text = windows(starts)
-    at = np.where(at < 0, -1, code[at]) if len(code) else at
+    if len(code):
+        np.copyto(at, code.astype(np.int32)[at], where=at >= 0)
     usable = np.flatnonzero(~apart[text])
     moments, t = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
     believed = np.zeros(len(text), np.float32)
@@ -196,8 +207,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, epochs: int = 6, ba
                 s += 0.001 * (step * step - s)
                 v -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         if epoch >= 1:  # how each window looks now
-            x, _ = net.inputs(distinct)
-            believed = np.concatenate([net.run(x, at[i : i + 2048]) for i in range(0, len(at), 2048)])
+            x = np.hstack([net.p["words"][row], summed(net.p["grams"], x_codes, x_starts) * by])
+            believed = net.logits(x, at)
+            del x
     z = np.full(len(texts), -np.inf)
     np.maximum.at(z, text, believed)
     if apart.any() and 0 < y[apart].sum() < apart.sum():

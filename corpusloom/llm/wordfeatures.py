@@ -47,7 +47,7 @@ def ngrams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
     data = np.frombuffer(marked.buffers()[2], np.uint8) if len(marked) and marked.buffers()[2] else np.zeros(0, np.uint8)
     offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1].astype(np.int64) if len(marked) else np.zeros(1, np.int64)
     length = np.diff(offsets)
-    word = np.repeat(np.arange(len(words)), length)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), length)
     data = data[offsets[0] : offsets[-1]]
     left = np.repeat(offsets[1:] - offsets[0], length) - np.arange(len(data))
     codes, owners = [], []
@@ -59,19 +59,24 @@ def ngrams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
         rolled ^= rolled >> np.uint64(29)
         if n in sizes:
             fits = left >= n
-            codes.append((rolled[fits] >> np.uint64(32)) % np.uint64(buckets))
+            codes.append(((rolled[fits] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
             owners.append(word[fits])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(codes).astype(np.int64)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return np.concatenate(codes)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
-def summed(table: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of ``table``'s rows over each word's codes."""
+def summed(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """The sum of ``table``'s rows over each word's codes, for about ``at_once`` codes at a time."""
     out = np.zeros((len(starts) - 1, table.shape[1]), table.dtype)
-    has = np.diff(starts) > 0
-    if has.any():
-        out[has] = np.add.reduceat(table[codes], starts[:-1][has], axis=0)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + at_once, side="right")) - 1)
+        has = np.diff(starts[at : to + 1]) > 0
+        if has.any():
+            first = (starts[at:to] - starts[at])[has]
+            out[at:to][has] = np.add.reduceat(table[codes[starts[at] : starts[to]]], first, axis=0)
+        at = to
     return out
 
 
