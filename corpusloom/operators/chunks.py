@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,6 +70,19 @@ def recursive_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 12
     return out.withColumn("token_estimate", token_estimate(F.col("text")))
 
 
+@F.udtf(returnType="idx int, start int, text string")
+class SplitText:
+    """The splitter for SQL: ``SELECT id, c.* FROM papers, LATERAL split_text(full_text, 1200, 200) c``."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        for idx, (start, piece) in enumerate(split_text(text or "", size, overlap)):
+            yield idx, start, piece
+
+
+def register_splitter(spark: SparkSession, name: str = "split_text") -> None:
+    spark.udtf.register(name, SplitText)
+
+
 def token_estimate(text: Column) -> Column:
     """CHK-6"""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))

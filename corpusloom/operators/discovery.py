@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
+from corpusloom.operators.vectors import blocks_of
 from corpusloom.storage import cut
 
 # Words that alone name no entity.
@@ -33,8 +34,10 @@ def resolve_terms(terms: DataFrame, entities: DataFrame) -> DataFrame:
     t = terms.select("term", low.alias("low")).filter("low <> ''")
     by_id = t.join(entities.select("id"), F.col("low") == F.col("id")).select("term", "id", F.lit(0).alias("how"), F.lit(0).alias("n"))
     by_name = t.join(entities.select("id", name.alias("name")), F.col("low") == F.col("name")).select("term", "id", F.lit(1).alias("how"), F.lit(0).alias("n"))
-    inside = entities.select("id", "name").join(F.broadcast(t.limit(10_000)), F.contains(F.lower("name"), F.col("low"))).select("term", "id", F.lit(2).alias("how"), F.length("name").alias("n"))
-    every = by_id.unionByName(by_name).unionByName(inside)
+    every = by_id.unionByName(by_name)
+    for block in blocks_of(t.distinct(), "term"):  # the terms are a stated set, compared with all names
+        inside = entities.select("id", "name").join(F.broadcast(block), F.contains(F.lower("name"), F.col("low")))
+        every = every.unionByName(inside.select("term", "id", F.lit(2).alias("how"), F.length("name").alias("n")))
     return every.groupBy("term").agg(F.min_by("id", F.struct("how", "n", "id")).alias("id"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import cut
 
 
 def metadata(docs: DataFrame, id_col: str, text_col: str, stem: Column | None = None) -> DataFrame:
@@ -74,6 +78,24 @@ def page_provenance(pages: DataFrame, most: int = 40) -> DataFrame:
     return out.select("paper_id", source.alias("text_source"), "page_count", "ocr_pages", "skipped_pages", "ocr_confidence")
 
 
+def recognise(pages: DataFrame, cache: DataFrame, engine: Callable[[bytes, float, float], tuple[str, float]], name: str, dpi: int = 200) -> tuple[DataFrame, DataFrame]:
+    """UDF-3: the text and confidence of page images by any engine, asked only for what the cache lacks.
+
+    ``pages``: paper_id, page_no, image, width, height. ``cache``: key, text, confidence. Returns the
+    pages with their text, and the cache rows to add. Equal images on equal terms are read once.
+    """
+    keyed = pages.withColumn("key", F.sha2(F.concat_ws("|", F.sha2("image", 256), "width", "height", F.lit(dpi), F.lit(name)), 256))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [engine(bytes(i), w, h) for i, w, h in zip(b["image"], b["width"], b["height"], strict=True)]
+            yield pd.DataFrame([(k, t, float(c)) for k, (t, c) in zip(b["key"], read, strict=True)], columns=["key", "text", "confidence"])
+
+    todo = keyed.select("key", "image", "width", "height").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    fresh = cut(todo.mapInPandas(run, "key string, text string, confidence double"), "recognised")
+    return keyed.join(cache.select("key", "text", "confidence").unionByName(fresh), "key").drop("image"), fresh
+
+
 def reading_order(lines: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """DOC-11: the recognised text of each page in reading order, and its number of columns.
 

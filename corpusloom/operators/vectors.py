@@ -22,19 +22,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) < 1) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
+def blocks_of(stated: DataFrame, id_col: str, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """A stated set in blocks that are small enough to be sent to all tasks: about ``rows`` each, dealt by a hash."""
+    n = -(-2 * stated.count() // rows)
+    return [stated] if n <= 2 else [stated.filter(F.pmod(F.xxhash64(id_col), F.lit(n)) == i) for i in range(n)]
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", scope: DataFrame | None = None, scope_key: str = "paper_id") -> DataFrame:
     """VEC-2: the ``k`` nearest items of each query, ranked from 0.
 
     Items are scoped before they are ranked. Queries are a stated set: they are sent to all tasks if
-    they are at most ``BROADCAST_ROWS`` (counted), else cut into blocks of that size, one pass each.
+    they are at most ``BROADCAST_ROWS`` (counted), else cut into blocks, one pass each.
     Each slice of the items keeps its own best ``k`` per query before the rest meet.
     """
     if scope is not None:
         items = items.join(scope.select(scope_key).distinct(), scope_key, "left_semi")
-    n = queries.count()
-    blocks = [queries] if n <= BROADCAST_ROWS else queries.randomSplit([1.0] * -(-n // BROADCAST_ROWS), seed=1)
     out = None
-    for block in blocks:
+    for block in blocks_of(queries, query_id):
         q = block.select(query_id, F.col("embedding").alias("_q"))
         scored = items.select(item_id, "embedding").crossJoin(F.broadcast(q)).select(query_id, item_id, F.round(cosine(F.col("embedding"), F.col("_q")), 4).alias("score"))
         scored = scored.withColumn("_part", F.pmod(F.xxhash64(item_id), F.lit(64)))

@@ -10,7 +10,6 @@ from corpusloom.operators import chunks as C
 from corpusloom.operators import documents as D
 from corpusloom.operators import vectors as V
 from corpusloom.plans.views import table, view, with_views
-from corpusloom.storage import cut
 
 QUERIES, ORACLE = {}, {}
 
@@ -77,6 +76,24 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return C.recursive_chunks(table(spark, sf, "documents"), "doc_id", "text")
 
 
+@query()
+def chunk_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """CHK-1 as a table function in SQL."""
+    C.register_splitter(spark)
+    return spark.sql("SELECT doc_id, c.* FROM {documents}, LATERAL split_text(text, 1200, 200) c", documents=table(spark, sf, "documents"))
+
+
+@query()
+def recognise_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """UDF-3, STA-6: raw pages as images, a stand-in for an engine, a cache that knows every second page."""
+    html = F.encode("html", "utf-8")
+    pages = table(spark, sf, "pages").select(F.col("url").alias("paper_id"), F.col("page_id").alias("page_no"), html.alias("image"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    none = spark.createDataFrame([], "key string, text string, confidence double")
+    engine = lambda image, w, h: (image.decode("utf-8", "replace")[:100], 0.9)
+    _, known = D.recognise(pages.filter("page_no % 2 = 0"), none, engine, "stub")
+    return D.recognise(pages, known, engine, "stub")[0].select("paper_id", "page_no", "text", "confidence")
+
+
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of 900 characters."""
     out = C.fixed_chunks(table(spark, sf, "documents"), "doc_id", "text", 900, 0)
