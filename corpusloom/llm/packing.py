@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,18 @@ def encoder(name: str):
     """The byte-level BPE ``name`` of the public tokenizer files, one for each Python worker.
 
     The rank file holds the same vocabulary as the ``.json`` of that name and gives the same ids
-    (tests/llm/test_packing.py compares them) at a fourth of the time.
+    (tests/llm/test_mixing_and_packing.py compares them) at a fourth of the time. The added tokens,
+    which a text may contain and which are one id each, stand in the ``.json`` only.
     """
     if name not in _encoders:
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[name]
 
 
@@ -46,7 +51,7 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_co
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = partial(encoder(tokenizer).encode, allowed_special="all")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # the ids of few documents at a time
                 part = batch.slice(at, 512)

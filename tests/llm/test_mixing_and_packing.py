@@ -84,6 +84,18 @@ def test_ids_are_those_of_the_tokenizer_file():
         assert list(slow.encode(text, add_special_tokens=False).ids) == fast.encode_ordinary(text)
 
 
+def test_added_tokens_in_a_text_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["clean text <|endoftext|> more text", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n<|endoftext|> ", "<|endoftext", "<|ENDOFTEXT|> <|endoftext|>é"]
+    rows = {r["doc_id"]: r for r in packing.pack(documents(spark, texts), 512, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        ids = [*slow.encode(text, add_special_tokens=False).ids, 0]
+        assert rows[i]["ids"] == ids and rows[i]["length"] == len(ids) and rows[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def best_fit(counts, capacity):
     rooms, bins = [], []
     for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
