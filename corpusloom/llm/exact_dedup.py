@@ -23,41 +23,52 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are identical without the characters of ``BLANKS``; null counts as
     empty, and all empty texts are equal. Of equal texts the row with the most code points stays,
-    then the one with the smallest id (a null id comes last). Rows that repeat an id and a text are
-    one group, of which one row is kept. An empty table gives an empty result. Other columns,
+    then the one with the smallest id (a null id comes last). Of rows that repeat an id and a text
+    one is kept. An empty table gives an empty result. Other columns,
     whatever their names, are ignored.
 
     Rows meet by a 128-bit hash of the text. Only texts whose hash occurs again are shuffled a
     second time, to be compared with the bytes of the row that stays; rows that differ from it in
     spite of an equal hash are grouped again by their text.
     """
+    return decided_rows(docs, id_col, text_col, key).drop("_n")
+
+
+def decided_rows(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column], Column] = hash128) -> DataFrame:
+    """``exact_dedup`` and ``_n``, the code points of each text."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.char_length(raw).alias("_n"), F.translate(raw, BLANKS, "").alias("_text"))
     hashed = texts.withColumn("text_sha256", F.sha2("_text", 256)).withColumn("_key", key(F.col("text_sha256")))
-    rows = cut(hashed.drop("_text"), "rows")
-    best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("id")))
-    groups = cut(rows.groupBy("_key").agg(F.count("*").alias("group_size"), best["id"].alias("keep_id"), (-best["_n"]).alias("_keep_n")), "groups")
-    again = hashed.join(groups.filter("group_size > 1").select("_key", "keep_id", "_keep_n"), "_key")
+    numbered = lambda df: df.withColumn("_row", F.monotonically_increasing_id())  # noqa: E731; fixed once the rows are written
+    rows = cut(numbered(hashed.drop("_text")), "rows")
+    best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("_row").alias("row")))
+    stays = [F.count("*").alias("group_size"), best["id"].alias("keep_id"), best["row"].alias("_keep_row")]
+    groups = cut(rows.groupBy("_key").agg(*stays, best["sha"].alias("_keep_sha")), "groups")
+    again = hashed.join(groups.filter("group_size > 1").select("_key", "_keep_sha"), "_key")
     again = cut(again, "again")
-    first = again.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("_keep_n")))
-    first = first.groupBy("_key").agg(F.min("_text").alias("_first"))
-    differs = cut(again.join(cut(first, "first"), "_key").filter(F.col("_text") != F.col("_first")).select("doc_id", "_n", "_text", "text_sha256", "_key"), "differs")
+    first = again.filter(F.col("text_sha256") == F.col("_keep_sha")).groupBy("_key").agg(F.min("_text").alias("_first"))
+    differs = again.join(cut(first, "first"), "_key").filter(F.col("_text") != F.col("_first")).select("doc_id", "_n", "_text", "text_sha256", "_key")
+    differs = cut(numbered(differs), "differs")
+    groups = groups.drop("_keep_sha")
     decided = rows.join(groups, "_key")
     if not differs.isEmpty():  # two texts with one hash
-        other = cut(differs.groupBy("_key", "_text").agg(F.count("*").alias("group_size"), best["id"].alias("keep_id"), (-best["_n"]).alias("_keep_n")), "other")
+        other = cut(differs.groupBy("_key", "_text").agg(*stays), "other")
         apart = differs.join(other, ["_key", "_text"]).drop("_text")
         fewer = differs.groupBy("_key").agg(F.count("*").alias("_less"))
         main = rows.join(differs.select("doc_id", "text_sha256", "_key").distinct(), [rows[c].eqNullSafe(differs[c]) for c in ("doc_id", "text_sha256", "_key")], "left_anti")
         main = main.join(groups, "_key").join(fewer, "_key", "left").withColumn("group_size", F.col("group_size") - F.coalesce("_less", F.lit(0))).drop("_less")
         decided = main.unionByName(apart)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("_keep_n"))
-    return decided.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    kept = F.col("_row") == F.col("_keep_row")
+    return decided.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "_n")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies: all columns of the rows that ``exact_dedup`` keeps, one row for each id."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(cut(kept.distinct(), "kept"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """``docs`` without the copies: all columns of the rows that ``exact_dedup`` keeps, one for each text whatever its id."""
+    kept = decided_rows(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha"), F.col("_n").alias("_kept_n"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({"_own_sha": F.sha2(F.translate(raw, BLANKS, ""), 256), "_own_n": F.char_length(raw)})
+    same = own[id_col].eqNullSafe(F.col("_keep")) & (F.col("_own_sha") == F.col("_kept_sha")) & (F.col("_own_n") == F.col("_kept_n"))
+    return own.join(cut(kept, "kept"), same, "left_semi").dropDuplicates([id_col, "_own_sha"]).select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

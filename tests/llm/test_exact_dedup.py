@@ -40,3 +40,15 @@ def test_no_rows_and_repeated_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = x.exact_dedup(documents(spark, ["a"], clash=False))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_row_is_decided_however_ids_repeat(spark):
+    rows = [(None, "a b"), (None, "c"), (None, "ab"), (None, "c"), (1, "d"), (1, "e e"), (1, "e  e"), (1, "c"), (2, "e e"), (2, None), (None, " ")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    expected = [(None, " "), (None, "a b"), (1, "c"), (1, "d"), (1, "e  e")]
+    assert sorted(map(tuple, x.drop_copies(df).collect()), key=str) == sorted(expected, key=str)
+    for key in (x.hash128, lambda sha: F.substring(sha, 1, 0)):
+        found = x.exact_dedup(df, key=key).collect()
+        kept = [(r["doc_id"], r["text_sha256"]) for r in found if r["kept"]]
+        assert sorted(kept, key=str) == sorted(((i, hashlib.sha256("".join(t.split()).encode()).hexdigest()) for i, t in expected), key=str)
+        assert len(found) == len(rows) * 2
