@@ -229,10 +229,20 @@ def rrf_search(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY place) AS n FROM b)
 SELECT item_id, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS context, count(*) AS n_blocks FROM c WHERE n <= 12000 GROUP BY item_id""")
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_hits(spark, sf, 12000)
+
+
+@query()
+def context_pack_full(spark: SparkSession, sf: str) -> DataFrame:
+    """RET-3 with the whole budget"""
+    return packed_hits(spark, sf, 220_000)
+
+
+def packed_hits(spark: SparkSession, sf: str, budget: int) -> DataFrame:
     rows = search(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     none = F.lit(None).cast("string")
     block = V.chunk_block(F.col("place") + 1, F.concat(F.lit("d"), "doc_id"), none, none, F.lit("text"), none, F.col("text"))
-    out = V.pack_blocks(rows.withColumn("block", block), "item_id", "place", "block", 12000, "\n\n---\n\n")
+    out = V.pack_blocks(rows.withColumn("block", block), "item_id", "place", "block", budget, "\n\n---\n\n")
     return out.withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
@@ -253,11 +263,21 @@ c AS (SELECT *, sum(length(block)) OVER (PARTITION BY owner_id ORDER BY n) AS us
 SELECT owner_id, md5(string_agg(block, chr(10) || chr(10) || '========' || chr(10) || chr(10) ORDER BY n)) AS context, count(*) AS n_blocks FROM c WHERE used <= 20000 GROUP BY owner_id"""))
 def paper_pack(spark: SparkSession, sf: str) -> DataFrame:
     """RET-4"""
+    return packed_papers(spark, sf, 500, 20000)
+
+
+@query()
+def paper_pack_full(spark: SparkSession, sf: str) -> DataFrame:
+    """RET-4 with the whole budgets of a paper and of the pack"""
+    return packed_papers(spark, sf, 60_000, 220_000)
+
+
+def packed_papers(spark: SparkSession, sf: str, most: int, budget: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     papers = view(spark, sf, "papers_v").withColumn("n", F.row_number().over(W.partitionBy("owner_id").orderBy("year", "paper_id")))
-    block = V.paper_block(F.col("n"), F.col("title"), F.col("authors"), F.col("year"), F.col("venue"), F.col("full_text"), 500)
-    return V.pack_blocks(papers.withColumn("block", block), "owner_id", "n", "block", 20000, "\n\n========\n\n").withColumn("context", F.md5(F.col("context").cast("binary")))
+    block = V.paper_block(F.col("n"), F.col("title"), F.col("authors"), F.col("year"), F.col("venue"), F.col("full_text"), most)
+    return V.pack_blocks(papers.withColumn("block", block), "owner_id", "n", "block", budget, "\n\n========\n\n").withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
 @query()
@@ -284,9 +304,19 @@ SELECT paper_id, CASE WHEN count(*) FILTER (done) = 0 THEN 'native' WHEN count(*
   coalesce(list(page_no ORDER BY page_no) FILTER (done), []) AS ocr_pages, coalesce(list(page_no ORDER BY page_no) FILTER (ocr AND NOT done), []) AS skipped_pages, round(avg(c) FILTER (done), 4) AS ocr_confidence FROM x GROUP BY paper_id""")
 def page_provenance(spark: SparkSession, sf: str) -> DataFrame:
     """FIL-9, DOC-10"""
+    return provenance(spark, sf, 3)
+
+
+@query()
+def page_provenance_full(spark: SparkSession, sf: str) -> DataFrame:
+    """FIL-9, DOC-10 with all 40 pages"""
+    return provenance(spark, sf, 40)
+
+
+def provenance(spark: SparkSession, sf: str, most: int) -> DataFrame:
     pages = pages_of(spark, sf).withColumnRenamed("doc_id", "paper_id")
     wants = D.needs_ocr(F.col("text"), F.when(F.col("page_no") % 2 == 0, 0.5).otherwise(0.0)) | (F.col("page_no") % 5 == 0)
-    return D.page_provenance(pages.withColumn("needs_ocr", wants).withColumn("confidence", (F.col("page_no") % 10) / 10.0), 3)
+    return D.page_provenance(pages.withColumn("needs_ocr", wants).withColumn("confidence", (F.col("page_no") % 10) / 10.0), most)
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS paper_id, CAST(l_linenumber AS INT) AS page_no FROM lineitem),

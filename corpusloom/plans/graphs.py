@@ -287,9 +287,19 @@ def graph_facts(spark: SparkSession, sf: str) -> DataFrame:
 u AS (SELECT *, sum(length(line)) OVER (PARTITION BY question_id ORDER BY place) AS used FROM l) SELECT question_id, string_agg(line, chr(10) ORDER BY place) AS context, count(*) AS n_blocks FROM u WHERE used <= 2000 GROUP BY question_id"""))
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-24"""
+    return packed_facts(spark, sf, 2000)
+
+
+@query()
+def graph_context_full(spark: SparkSession, sf: str) -> DataFrame:
+    """GRF-24 with the whole budget"""
+    return packed_facts(spark, sf, 12_000)
+
+
+def packed_facts(spark: SparkSession, sf: str, budget: int) -> DataFrame:
     titles = F.transform("papers", lambda p: F.concat(F.lit("Order "), F.substring(p, F.lit(2), F.length(p))))
     line = X.fact_line(F.col("place"), F.col("source"), F.col("relation"), F.col("target"), titles, F.col("evidence"))
-    return V.pack_blocks(facts_of(spark, sf).withColumn("line", line), "question_id", "place", "line", 2000, "\n")
+    return V.pack_blocks(facts_of(spark, sf).withColumn("line", line), "question_id", "place", "line", budget, "\n")
 
 
 @query()
