@@ -7,10 +7,15 @@ recomputation, and an aggregate that is read back can take part in a skew-split
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_here = threading.local()  # folder: where this thread's cut() writes; sets: the folder of each set
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
@@ -28,9 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def table_set(spark: SparkSession, name: str) -> Iterator[None]:
+    """What ``cut`` writes inside belongs to the set ``name``; the last set of that name is deleted first.
+
+    For jobs whose steps write their results before the next step begins: entering the next step
+    frees what the one before has left. Sets belong to the thread.
+    """
+    sets = _here.__dict__.setdefault("sets", {})
+    if name in sets:
+        delete(spark, sets.pop(name))
+    outer = getattr(_here, "folder", None)
+    _here.folder = sets[name] = f"{outer or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _here.folder = outer
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: same rows, no lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{getattr(_here, 'folder', None) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
