@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.wordfeatures import bounded_sample, chunks, fold, lookup, ngrams, split_words, summed
+from corpusloom.llm.wordfeatures import bounded_sample, chunks, fetch_sample, fold, lookup, ngrams, split_words, summed
 
 #: Documents per language to learn from, words of each, words in the lexicon.
 DOCS, WORDS_OF_DOC, LEXICON = 300, 400, 4000
@@ -121,15 +121,14 @@ def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 6) ->
 
 
 def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = DOCS) -> Crf | None:
-    """A model of the given rows: at most ``most`` documents per language, chosen by a hash of the id."""
+    """A model of the given rows: at most ``most`` documents per language, chosen by a hash of the id, and of each
+    at most ``SAMPLE_WORDS`` words. An id that repeats counts once in each of its languages."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     ids = bounded_sample(labelled, "_id", "_lang", most)
     if not ids:
         return None
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _ in ids})], "_id long")  # most x languages ids
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"), "left_semi").filter(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col).collect()
-    rows = sorted((r[0], r[1] or "", r[2]) for r in rows)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    rows = fetch_sample(docs.filter(F.col(text_col).isNotNull()), ids, [id_col, lang_col], text_col)
+    return train([r[2] for r in rows], [r[1] for r in rows])
 
 
 def label_words(model: Crf, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:

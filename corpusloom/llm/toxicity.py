@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.wordfeatures import bounded_sample, chunks, fold, lookup, ngrams, split_words, summed
+from corpusloom.llm.wordfeatures import bounded_sample, chunks, fetch_sample, fold, lookup, ngrams, split_words, summed
 
 #: Labelled documents of either kind to learn from, windows of each for one epoch, words with a vector of their own.
 DOCS, WINDOWS_OF_DOC, VOCABULARY = 1000, 6, 6000
@@ -229,15 +229,15 @@ def calibrate(z: np.ndarray, y: np.ndarray, clean_weighs: float = 4.0) -> tuple[
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """A network for the labelled documents: at most ``most`` toxic and three times as many clean ones, chosen by a hash of the id."""
+    """A network for the labelled documents: at most ``most`` toxic and three times as many clean ones, chosen by a hash of the id,
+    and of each at most ``SAMPLE_WORDS`` words. An id that repeats counts once; one with both labels is left out."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_label"))
     ids = bounded_sample(known.filter("_label = 1"), "_id", "_label", most) + bounded_sample(known.filter("_label = 0"), "_id", "_label", 3 * most)
-    label = dict(ids)
+    both = set(ids)
+    label = {i: y for i, y in ids if (i, 1 - y) not in both}
     if len(set(label.values())) < 2:
         return None
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(label)], "_id long")  # 4 x most ids
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"), "left_semi").select(id_col, text_col).collect()
-    rows = sorted((r[0], r[1] or "") for r in rows)
+    rows = fetch_sample(docs, [(i,) for i in label], [id_col], text_col)
     order = np.random.default_rng(1).permutation(len(rows))
     rows = [rows[i] for i in order]
     return train([r[1] for r in rows], [label[r[0]] for r in rows]) if len({label[r[0]] for r in rows}) == 2 else None

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a document that a model learns from; of longer ones so many in stretches from all over the text.
+SAMPLE_WORDS = 8192
 #: Punctuation that is cut from the ends of words.
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$@/\\+=_~`^-–—…«»„“”‘’¿¡"
 
@@ -90,12 +92,46 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def stretches(texts: pa.Array, most: int, stretch: int = 512) -> pa.Array:
+    """Texts of more than ``most`` words cut to stretches of words that lie evenly over the whole text."""
+    out = texts.to_pylist()
+    for i, text in enumerate(out):
+        if text is not None and len(text) > most and len(words := text.split()) > most:
+            parts = most // stretch
+            starts = [k * (len(words) - stretch) // (parts - 1) for k in range(parts)]
+            out[i] = " ".join(w for s in starts for w in words[s : s + stretch])
+    return pa.array(out, pa.string())
+
+
+def fetch_sample(docs: DataFrame, keys: list[tuple], columns: list[str], text_col: str, most_words: int = SAMPLE_WORDS) -> list[tuple]:
+    """One text for each of ``keys`` (values of ``columns``, an id first) that ``docs`` has, ordered: what a model learns from.
+
+    Of rows that repeat a key the text with the smallest hash is taken; of a text with more than
+    ``most_words`` words evenly spread stretches. So the driver gets ``len(keys)`` texts of bounded
+    length, however often an id repeats.
+    """
+    names = [f"_{i}" for i in range(len(columns))]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, columns, strict=True))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(keys)), schema))  # as many rows as the sample
+    own = docs.select(*(F.col(c).alias(n) for n, c in zip(names, columns, strict=True)), F.col(text_col).alias("_text")).join(chosen, names, "left_semi")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stretches(batch.column(batch.num_columns - 1), most_words)], names=batch.schema.names)
+
+    short = own.mapInArrow(shorten, f"{schema}, _text string")
+    one = short.groupBy(*names).agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+    return sorted((*r[:-1], r[-1] or "") for r in one.collect())
+
+
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> list[tuple[int, object]]:
     """At most ``most`` ids per class, the same ones every time: those with the smallest hashes.
 
-    Counts per class give the share of hashes to fetch, so that about twice ``most`` rows per class
-    leave the executors whatever the table holds.
+    Counts per class give the share of hashes to fetch, so that about twice ``most`` ids per class
+    leave the executors whatever the table holds. An id that repeats counts once.
     """
+    rows = rows.select(id_col, class_col).distinct()
     counts = {r[class_col]: r["count"] for r in rows.groupBy(class_col).count().collect()}
     share = F.lit(0.0)
     for value, n in counts.items():

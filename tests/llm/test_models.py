@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from corpusloom.llm import language_crf as crf
 from corpusloom.llm import toxicity as tox
-from corpusloom.llm.wordfeatures import bounded_sample, ngrams, split_words
+from corpusloom.llm.wordfeatures import bounded_sample, fetch_sample, ngrams, split_words
 from tests.llm.cases import documents, empty
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "ra"], "bb": ["schu", "berg", "lich", "ung"], "cc": ["eau", "oir", "que", "tre"]}
@@ -111,3 +111,56 @@ def test_ngrams_mark_edges():
     codes, starts = ngrams(pa.array(["ab", "b", ""]), (2, 3), 1 << 20)
     own = [set(codes[a:b]) for a, b in zip(starts, starts[1:])]
     assert len(own[0]) == 5 and len(own[1]) == 3 and len(own[2]) == 1 and own[0] & own[1]
+
+
+def test_forward_pass_word_by_word():
+    """Windows scored one word at a time, as the published equations of the unit say, give the same logits."""
+    texts = ["one two three four", "five", "", "six " * 30 + "seven eight"]
+    distinct, code, starts = split_words(pa.array(texts))
+    net = tox.Network(distinct).start(4)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, tox.HIDDEN
+    x = np.random.default_rng(2).normal(size=(len(distinct), 2 * tox.DIM))
+    at, _ = tox.windows(starts)
+    at = np.where(at < 0, -1, code[at])
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def one_way(words, d):
+        state, out = np.zeros(h), []
+        for w in words:
+            gate, back = x[w] @ p[f"{d}_in"] + p[f"{d}_b"], state @ p[f"{d}_rec"]
+            z, r = sig(gate[:h] + back[:h]), sig(gate[h : 2 * h] + back[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(gate[2 * h :] + r * back[2 * h :])
+            out.append(state)
+        return out
+
+    expected = []
+    for row in at:
+        words = [w for w in row if w >= 0]
+        pooled = np.zeros(2 * h)
+        if words:
+            both = np.hstack([one_way(words, "f"), one_way(words[::-1], "b")[::-1]])
+            attention = np.exp(np.tanh(both @ p["att"]) @ p["att_v"])
+            pooled = attention @ both / attention.sum()
+        expected.append(pooled @ p["out"] + p["out_b"][0])
+    assert np.allclose(net.run(x.astype(np.float32), at), expected, atol=1e-4)
+
+
+def test_an_id_that_repeats_is_one_document_to_learn_from(spark):
+    """A third of all rows under one id: the sample stays as small as the list of ids."""
+    rows = [(7, f"text {i} " * 40, "en") for i in range(500)] + [(i, "w " * 20_000 if i == 8 else f"other {i}", "de") for i in range(8, 40)] + [(9, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(bounded_sample(df, "doc_id", "lang", 100)) == [(7, "en"), *((i, "de") for i in range(8, 40))]
+    got = fetch_sample(df, [(7, "en"), (8, "de"), (9, "de"), (99, "de")], ["doc_id", "lang"], "text", most_words=1024)
+    again = fetch_sample(df.repartition(5), [(7, "en"), (8, "de"), (9, "de"), (99, "de")], ["doc_id", "lang"], "text", most_words=1024)
+    assert [r[:2] for r in got] == [(7, "en"), (8, "de"), (9, "de")] and got == again and len(got[1][2].split()) == 1024
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    texts, labels = toxic_corpus(60, 3)
+    net = tox.train(texts, labels, epochs=2)
+    df = documents(spark, [*texts[:5], *texts[:5]])
+    scores = {r["doc_id"]: r["score"] for r in tox.score(df.union(df), net).collect()}
+    assert all(abs(scores[i] - scores[i + 5]) < 1e-6 for i in range(5)) and tox.score(df.union(df), net).count() == 20
+    model = crf.train([text_in(x, s) for s in range(10) for x in ("aa", "bb")], ["aa", "bb"] * 10, epochs=2)
+    assert crf.identify(df.union(df), model).count() == 20
+    assert crf.train(["same", "same"], ["aa", "bb"], epochs=1).labels == ["aa", "bb"]
