@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from corpusloom.llm.ordering import rank_within
 from corpusloom.storage import cut
 
 SEPARATOR = 0
+#: Characters of white space in a row from which a text goes to ``tokenizers``.
+BLANK_RUN = 10_000
 _encoders: dict[str, object] = {}
 
 
@@ -42,6 +44,24 @@ def encoder(name: str):
     return _encoders[name]
 
 
+def token_ids(name: str) -> Callable[[str], list[int]]:
+    """Text to ids. The fast encoder's matcher recurses over a run of white space and overflows at some hundred
+    thousand characters, so texts with very long runs go to ``tokenizers`` and the ``.json`` itself."""
+    fast = encoder(name)
+
+    def ids(text: str) -> list[int]:
+        if len(text) < BLANK_RUN or max(map(len, re.findall(r"\s++", text)), default=0) < BLANK_RUN:
+            return fast.encode(text, allowed_special="all")
+        if (exact := f"{name}.json") not in _encoders:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            _encoders[exact] = Tokenizer.from_file(public_tokenizers.path(exact))
+        return _encoders[exact].encode(text, add_special_tokens=False).ids
+
+    return ids
+
+
 def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """The pieces of each document: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if wanted, ``ids``.
 
@@ -51,7 +71,7 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_co
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(tokenizer).encode, allowed_special="all")
+        encode = token_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # the ids of few documents at a time
                 part = batch.slice(at, 512)
