@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.ordering import rank_within
-from corpusloom.storage import cut
+from corpusloom.llm.ordering import numbered, rank_within
 
 SEPARATOR = 0
 #: Characters of white space in a row from which a text goes to ``tokenizers``.
@@ -171,7 +170,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     each length and remaining capacity or split run, whatever the number of documents). A piece
     finds its run by its length and its rank among the pieces of that length.
     """
-    pieces = cut(token_pieces(docs, capacity, id_col, text_col, tokenizer, with_ids), "pieces")
+    pieces = numbered(token_pieces(docs, capacity, id_col, text_col, tokenizer, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows
     plan = best_fit_plan(counts, capacity)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
@@ -185,9 +184,9 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         nth = rank - run[:, 1]
         return pd.DataFrame({"sequence_id": run[:, 2] + nth // run[:, 3], "offset": run[:, 4] + nth % run[:, 3] * length})
 
-    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
+    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", number="_number")
     placed = ranked.withColumn("_at", place("length", "_rank"))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return placed.select(*pieces.drop("_number").columns, "_at.sequence_id", "_at.offset")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

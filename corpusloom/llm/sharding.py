@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.ordering import rank_within
+from corpusloom.llm.ordering import numbered, rank_within
 
 #: The step of the published generator, and the bits of a key.
 STEP, KEY_DIGITS = 2862933555777941757, 15
@@ -48,7 +48,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), stable_key(F.col(id_col)).alias("_key"))
     rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), jump_shard(F.col("_key"), shards).alias("shard"), jump_shard(F.col("_key"), shards + 1).alias("grown_shard"))
-    return rank_within(rows, ["shard"], ["doc_id", "text_crc32"], "slot")
+    return rank_within(numbered(rows, "rows"), ["shard"], ["doc_id", "text_crc32"], "slot", number="_number")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
