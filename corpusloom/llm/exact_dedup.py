@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.rows import best_row
 from corpusloom.storage import cut
 
 #: The characters that equality ignores.
@@ -31,11 +32,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     second time, to be compared with the bytes of the row that stays; rows that differ from it in
     spite of an equal hash are grouped again by their text.
     """
-    return decided_rows(docs, id_col, text_col, key).drop("_n")
-
-
-def decided_rows(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column], Column] = hash128) -> DataFrame:
-    """``exact_dedup`` and ``_n``, the code points of each text."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.char_length(raw).alias("_n"), F.translate(raw, BLANKS, "").alias("_text"))
     hashed = texts.withColumn("text_sha256", F.sha2("_text", 256)).withColumn("_key", key(F.col("text_sha256")))
@@ -59,16 +55,20 @@ def decided_rows(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Col
         main = main.join(groups, "_key").join(fewer, "_key", "left").withColumn("group_size", F.col("group_size") - F.coalesce("_less", F.lit(0))).drop("_less")
         decided = main.unionByName(apart)
     kept = F.col("_row") == F.col("_keep_row")
-    return decided.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "_n")
+    return decided.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies: all columns of the rows that ``exact_dedup`` keeps, one for each text whatever its id."""
-    kept = decided_rows(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha"), F.col("_n").alias("_kept_n"))
+    """``docs`` without the copies: all columns of one row for each text, the row that ``exact_dedup`` keeps.
+
+    Rows are grouped by the hash and, within it, by the bytes of the text itself, whatever their
+    ids; copies meet before the shuffle, which each distinct text passes once. Of rows that repeat
+    an id and a text one stays.
+    """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"_own_sha": F.sha2(F.translate(raw, BLANKS, ""), 256), "_own_n": F.char_length(raw)})
-    same = own[id_col].eqNullSafe(F.col("_keep")) & (F.col("_own_sha") == F.col("_kept_sha")) & (F.col("_own_n") == F.col("_kept_n"))
-    return own.join(cut(kept, "kept"), same, "left_semi").dropDuplicates([id_col, "_own_sha"]).select(*docs.columns)
+    bare = F.translate(raw, BLANKS, "")
+    order = [-F.char_length(raw), F.col(id_col).isNull(), F.col(id_col), F.xxhash64(raw)]
+    return best_row(docs, {"_key": hash128(F.sha2(bare, 256)), "_text": bare}, order).select("_row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
