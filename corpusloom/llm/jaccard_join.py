@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import local_roots, pair_bands, units_of, components
+from corpusloom.llm.blocks import components, local_roots, pair_bands, units_of
+from corpusloom.llm.rows import fetch_rows, row_key
 from corpusloom.storage import cut
 
 #: 24 bands of 6 rows: a pair at 0.8 shares a band with probability 0.9993, one at 0.3 with 0.017.
@@ -80,13 +81,16 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, two halves of a 128-bit hash of the words, number of shingles, band keys (null: no words)."""
+    """``doc_id``, ``_key``, two halves of a 128-bit hash of the words, number of shingles, band keys (none without words).
+
+    docs: ``doc_id``, ``_key``, ``text``.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
-                hashes, starts = word_hashes(part.column(1))
+                hashes, starts = word_hashes(part.column(2))
                 made, first = shingles(hashes, starts, n)
                 has = np.diff(first) > 0
                 keys = band_keys(made, np.concatenate([first[:-1][has], first[-1:]]), bands, rows)
@@ -95,9 +99,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(first)), lists], names=["doc_id", "h1", "h2", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(first)), lists], names=["doc_id", "_key", "h1", "h2", "shingles", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, shingles long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, _key binary, h1 long, h2 long, shingles long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -217,38 +221,47 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A class holds the documents with the same words in the same order (any case and white space);
     ``class_id`` is its smallest id. ``n_links`` counts the other documents whose sets of ``n``-word
     shingles are alike to ``like`` or more by Jaccard, copies included. A group is connected by such
-    links; ``group_id`` is its smallest id, and that document is ``kept``. A text of fewer than ``n``
+    links; ``group_id`` is its smallest id, and one row with it is ``kept``. A text of fewer than ``n``
     words is one shingle; texts without words (null, empty, blank) are one class that links to no
-    other. Rows that repeat an id are copies of it and all ``kept`` if it is. An empty table gives an
-    empty result; other columns are ignored.
+    other. Every row is a document of its own, whether its id is null (after all others) or repeated.
+    An empty table gives an empty result; other columns are ignored.
 
-    Only classes take part in the join. Pairs are candidates when a band of MinHash minima agrees;
-    ``blocks`` deals them into bounded units, where all candidate pairs are verified by products of
-    0/1 matrices, and only counts and spanning links leave the unit.
+    Only classes take part in the join, under numbers of their own. Pairs are candidates when a band
+    of MinHash minima agrees; ``blocks`` deals them into bounded units, where all candidate pairs are
+    verified by products of 0/1 matrices, and only counts and spanning links leave the unit.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(plain, n, bands, rows), "signed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id")))["id"]
-    classes = cut(signed.groupBy("h1", "h2").agg(first.alias("node"), F.count("*").alias("weight"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "classes")
-    nodes = classes.filter((F.col("shingles") > 0) & F.col("node").isNotNull())
+    return grouped_rows(docs, id_col, text_col, n, like, bands, rows).drop("_key")
+
+
+def grouped_rows(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, like: float = LIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``jaccard_groups`` and the ``row_key`` of each row as ``_key``."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+    signed = cut(signatures(plain, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("_row").alias("row"), F.col("_key").alias("key")))
+    classes = signed.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("weight"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once written
+    nodes = classes.filter("shingles > 0")
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     units, near = units_of(keys, nodes.select("node", F.col("shingles").alias("weight")))
-    near = near.join(nodes.select("node", "weight", "keys"), "node")
-    sets = sets_of(near.join(plain.filter("doc_id is not null").withColumnRenamed("doc_id", "node"), "node"), n)
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    near = near.join(nodes.select("node", "weight", "keys", F.col("first.key").alias("_key")), "node")
+    texts = plain.groupBy("_key").agg(F.first("text").alias("text"))  # rows that repeat an id and a text meet before the shuffle
+    sets = cut(sets_of(near.join(texts, "_key").drop("_key"), n), "sets")
     linked = cut(verify(units.join(sets, "node"), like), "linked")
     links = linked.groupBy("node").agg(F.sum("links").alias("_links"))
-    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "_root")
-    found = classes.select("h1", "h2", "node", "weight").join(links, "node", "left").join(roots, "node", "left")
-    found = cut(found.select("h1", "h2", F.col("node").alias("class_id"), F.col("weight").alias("class_size"), (F.col("weight") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("_root", "node").alias("group_id")), "found")
-    all_ = signed.select("doc_id", "h1", "h2").join(found, ["h1", "h2"])
-    return all_.select("doc_id", "class_id", "class_size", "n_links", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    best = cut(roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("best")), "best")
+    best = roots.join(best, "root").select("node", "best")
+    found = classes.select("h1", "h2", "node", "weight", "first").join(links, "node", "left").join(best, "node", "left")
+    head = F.coalesce("best", "first")
+    found = cut(found.select("h1", "h2", F.col("first.id").alias("class_id"), F.col("weight").alias("class_size"), (F.col("weight") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), head["id"].alias("group_id"), head["row"].alias("_head")), "found")
+    all_ = signed.select("doc_id", "_key", "_row", "h1", "h2").join(found, ["h1", "h2"])
+    return all_.select("doc_id", "class_id", "class_size", "n_links", "group_id", (F.col("_row") == F.col("_head")).alias("kept"), "_key")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group that ``jaccard_groups`` finds, all columns kept."""
-    kept = jaccard_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(cut(kept, "kept"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    kept = grouped_rows(docs, id_col, text_col).filter("kept").select("_key", F.lit(1).alias("_times"))
+    return fetch_rows(docs, id_col, text_col, cut(kept, "kept"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

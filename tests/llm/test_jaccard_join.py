@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,21 @@ def test_empty_table_and_repeated_rows(spark):
     assert jaccard_join.jaccard_groups(empty(spark)).count() == 0
     df = documents(spark, [words(5, 30), words(6, 30)])
     rows = jaccard_join.jaccard_groups(df.union(df)).collect()
-    assert sorted((r["doc_id"], r["class_size"], r["n_links"], r["kept"]) for r in rows) == [(0, 2, 1, True)] * 2 + [(1, 2, 1, True)] * 2
+    assert sorted((r["doc_id"], r["class_size"], r["n_links"], r["kept"]) for r in rows) == [(i, 2, 1, k) for i in (0, 1) for k in (False, True)]
+
+
+def test_each_row_counts_whatever_its_id(spark):
+    """Null ids and different texts under one id: links, groups and the rows that stay are those of the texts."""
+    base = words(11, 90).split()
+    near = [" ".join(w if j != 9 * k else f"e{k}" for j, w in enumerate(base)) for k in range(5)]
+    rows = [(None, near[0]), (1, near[1]), (1, near[2]), (1, words(12, 40)), (2, words(12, 40).upper()), (None, words(13, 40)), (None, near[3]), (1, near[1]), (3, near[4]), (3, None), (None, "")]
+    expected = brute([t for _, t in rows])
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((i, expected[k][1]) for k, (i, _) in enumerate(rows))
+    assert sum(r["kept"] for r in got) == len({v[2] for v in expected.values()})
+    assert Counter(r["group_id"] for r in got) == {1: 8, 3: 2, None: 1}
+    left = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in left.filter("doc_id is not null and text <> ''").collect()) == sorted([(1, near[1]), (1, words(12, 40))]) and left.count() == 4
 
 
 def test_band_probability_matches_the_formula():
