@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ordering import rank_all
+from corpusloom.llm.rows import fetch_rows, row_key
 from corpusloom.storage import cut
 
 #: The weights of the sources in turn, the share of all sizes to take, the most copies.
@@ -56,11 +57,12 @@ def uniform(*parts: int) -> float:
 
 
 
-def pivotal_round(level: DataFrame, by: list[str], order: list[str], seed: int) -> DataFrame:
+def pivotal_round(level: DataFrame, by: list[str], order: list[str], seed: int, tasks: int) -> DataFrame:
     """One level of the tree: within each block all fractions but one become 0 or 1.
 
     Rows come sorted, so that neighbours of like size exchange mass and the words of a block hardly
-    change. A block is a stream: only the open row is held.
+    change. A block is a stream: only the open row is held. The blocks go to ``tasks`` tasks: they are
+    short rows but much work, so their bytes would put too many into one.
     """
     names = level.columns
     key_at, p_at, copies_at, tie_at = [names.index(k) for k in by], names.index("_p"), names.index("_copies"), names.index("_tie")
@@ -99,11 +101,11 @@ def pivotal_round(level: DataFrame, by: list[str], order: list[str], seed: int)
         if held is not None:
             yield table([held])
 
-    return level.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, level.schema)
+    return level.repartition(tasks, *by).sortWithinPartitions(*by, *order).mapInArrow(run, level.schema)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, ``size``, ``source``, ``source_size``, ``target``, ``copies``, ``taken``.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_key: bool = False) -> DataFrame:
+    """One row per document: id, ``size``, ``source``, ``source_size``, ``target``, ``copies``, ``taken``; ``_key`` (``row_key``) if wanted.
 
     A document's copies are the rate of its source (target by size, at most ``most``) rounded down,
     plus one with the probability of the rest, such that a source's words stay near its target.
@@ -113,11 +115,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     Blocks of about ``BLOCK`` documents of one source and like size are rounded first; what each
     leaves open meets in a tree with ``FAN_IN`` branches until one document per source is open,
-    which chance settles.
+    which chance settles. Rows that repeat an id, a text and a source go as one row with their number,
+    so however many they are they are no burden; all but one of them are settled by themselves.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("_tie"))
-    rows = cut(rows, "sizes")
-    targets = cut(source_targets(rows, weights, share, most), "targets")
+    key = {"_key": row_key(id_col, text_col)} if with_key else {}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("_tie"), *(c.alias(k) for k, c in key.items()))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_same")), "sizes")
+    targets = cut(source_targets(rows.select("source", (F.col("size") * F.col("_same")).alias("size")), weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shape = F.floor(F.log2(F.col("size") + 1.0) * 2).cast("int")
     per_shape = cut(rows.groupBy("source", shape.alias("_shape")).agg(F.count("*").alias("_rows")), "shapes")
@@ -125,18 +129,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     known = cut(known, "rates")
     parts = F.ceil(F.col("_rows") / BLOCK)
     open_ = rows.withColumn("_s", shape).join(known, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_s") == F.col("_shape"))).select(
-        "doc_id", "size", "source", "source_size", "target", "_tie", "_shape",
+        "doc_id", "size", "source", "source_size", "target", "_tie", "_shape", "_same", *key,
         F.pmod(F.col("_tie"), parts).alias("_part"), F.floor(F.col("_rate") + 1e-12).cast("int").alias("_copies"), (F.col("_rate") - F.floor(F.col("_rate") + 1e-12)).alias("_p"),
     )
+    # of equal rows as many as their fractions fill up get one more, one is left with the rest
+    filled = F.floor(F.col("_same") * F.col("_p") + 1e-12)
+    kind = lambda copies, p, times: F.struct(copies.cast("int").alias("_copies"), p.cast("double").alias("_p"), times.cast("long").alias("_times"))
+    kinds = F.array(kind(F.col("_copies") + 1, F.lit(0), filled), kind(F.col("_copies"), F.col("_same") * F.col("_p") - filled, F.lit(1)), kind(F.col("_copies"), F.lit(0), F.col("_same") - filled - 1))
+    open_ = open_.select("*", F.explode(kinds).alias("_kind")).drop("_copies", "_p", "_same").select("*", "_kind.*").drop("_kind").filter("_times > 0")
     whole = F.col("_p") <= 1e-12
     settled, level = open_.filter(whole), open_.filter(~whole)
-    widest = per_shape.agg(F.max("_rows")).first()[0] or 0
+    widest, blocks = per_shape.agg(F.max("_rows"), F.sum(F.ceil(F.col("_rows") / BLOCK))).first()
+    widest, blocks, most_tasks = widest or 0, blocks or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts_left, order = -(-widest // BLOCK), ["size", "doc_id", "_tie"]
     keys = ["source", "_shape", "_part"]
     while True:
         # `_block` stands for the keys: a hash deals them, whatever their types and nulls
         level = level.withColumn("_block", F.xxhash64(*keys))
-        out = cut(pivotal_round(level, ["_block"], order, seed).drop("_block"), "rounded")
+        out = cut(pivotal_round(level, ["_block"], order, seed, max(1, min(blocks, most_tasks))).drop("_block"), "rounded")
+        blocks //= FAN_IN
         settled, level = settled.unionByName(out.filter(whole)), out.filter(~whole)
         if keys == ["source"]:
             break
@@ -147,15 +158,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             keys = ["source"]
     chance = F.pmod(F.xxhash64("_tie", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) < F.col("_p")
     settled = settled.unionByName(level.withColumn("_copies", F.col("_copies") + chance.cast("int")))
-    return settled.select("doc_id", "size", "source", "source_size", "target", F.col("_copies").alias("copies"), (F.col("size") * F.col("_copies")).alias("taken"))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_time")
+    out = settled.select("doc_id", "size", "source", "source_size", "target", F.col("_copies").alias("copies"), (F.col("size") * F.col("_copies")).alias("taken"), *key, each)
+    return out.drop("_time")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` takes it, all columns kept. Rows that repeat an id share a decision."""
-    id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_taken")
-    times = F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_time")
-    return docs.join(cut(copies, "copies"), docs[id_col].eqNullSafe(F.col("_taken"))).select(*(docs[c] for c in docs.columns), times).drop("_time")
+    """``docs`` with each row as often as ``mix`` takes it, all columns kept.
+
+    Rows that repeat an id and a text are one row that comes as often as ``mix`` takes them all.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    copies = mix(docs, **options, with_key=True).groupBy("_key").agg(F.sum("copies").alias("_times")).filter("_times > 0")
+    return fetch_rows(docs, id_col, text_col, cut(copies, "copies"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
