@@ -6,6 +6,7 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from corpusloom import storage  # noqa: E402
 from corpusloom.llm import exact_dedup, toxicity  # noqa: E402
 from corpusloom.llm.wordfeatures import fold  # noqa: E402
 from tests.llm.cases import words  # noqa: E402
@@ -32,7 +33,7 @@ def test_each_stage_does_its_work(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     tables = [docs]
     for _, stage in pipeline.STAGES:
-        tables.append(pipeline.cut(stage(spark, tables[-1], folder)))
+        tables.append(storage.cut(stage(spark, tables[-1], folder)))
     assert [t.columns for t in tables[:-1]] == [COLUMNS] * 5
     rows = [{r["doc_id"]: r["text"] for r in t.collect()} for t in tables[:5]]
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(fold(F.col("doc_id"), 5) != 0)
