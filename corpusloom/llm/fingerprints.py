@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ordering import rank_all
+from corpusloom.llm.rows import row_key
 from corpusloom.storage import cut
 
 K, WORDS = 128, 5
@@ -82,14 +83,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Lengths and places are settled on narrow rows. The texts are shuffled once, by a key of their
     own; each document then sends the few characters that its predecessor needs, and its sketch.
     """
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("_k"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
+    texts = docs.select(row_key(id_col, text_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
     rows = rows.groupBy("_k").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.count("*").cast("int").alias("_times"))
     placed = rank_all(rows, [F.col("doc_id"), F.col("_k")], "_rank")
     n = placed.count()
     ahead = placed.select(F.pmod(F.col("_rank") + 1, F.lit(max(n, 1))).alias("_rank"), F.col("_k").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_wants"))
     known = cut(placed.join(ahead, "_rank").drop("_rank"), "neighbours")
-    once = texts.join(known, "_k").withColumn("_nth", F.row_number().over(W.partitionBy("_k").orderBy("_k"))).filter("_nth = 1")
+    once = texts.groupBy("_k").agg(F.first("_text").alias("_text")).join(known, "_k")  # repeated rows meet before the shuffle
     sketched = with_sketch(once, "_text", "_own", k)
     sent = sketched.select(F.col("_to").alias("_k"), F.expr("left(_text, _wants)").alias("_start"), F.col("_own").alias("_next"))
     kept = F.expr("left(_text, cast(n_chars - floor(n_chars / 4) as int))")
