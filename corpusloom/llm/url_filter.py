@@ -31,12 +31,15 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Every host suffix with every path prefix that ends at a slash, and with none."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(directory(path), "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+def how_many(col: Column, what: str) -> Column:
+    return F.length(col) - F.length(F.replace(col, F.lit(what), F.lit("")))
+
+
+def expressions(host: Column, path: Column, labels: int, slashes: int) -> Column:
+    """Every host suffix of at most ``labels`` labels with every path prefix that ends at one of the first ``slashes`` slashes, and with none."""
+    head = lambda text, mark, n: F.call_function("substring_index", text, F.lit(mark), n)
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), how_many(host, ".") + 1)), lambda i: head(host, ".", -i))
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.lit(slashes), how_many(path, "/"))), lambda i: F.when(i == 0, "").otherwise(F.concat(head(path, "/", i), F.lit("/"))))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
 
 
@@ -50,21 +53,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     are; an empty table gives an empty result; other columns are ignored.
 
     Each url is expanded into expressions that meet the rules on a short prefix of a digest; the
-    full digest and the whole path are then compared. What fits is reduced per row as a maximum,
-    partly before the shuffle, so that a host with most pages is no burden.
+    full digest and the whole path are then compared. No rule can fit an expression with more labels
+    or slashes than any rule has, so a url of any length gives few. What fits is reduced per row as a
+    maximum, partly before the shuffle, so that a host with most pages is no burden.
     """
     digest = lambda x: F.sha2(x, 256)
     host, path = url_parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    base = base.groupBy("page_id", "host", "path").agg(F.count("*").alias("_rows"))
-    keyed = base.select("*", F.explode(F.array_distinct(expressions(F.col("host"), F.col("path")))).alias("_x")).withColumn("_digest", digest(F.col("_x"))).drop("_x")
+    deep = rules.agg(F.max(how_many(F.col("host"), ".") + 1).alias("labels"), F.max(how_many(F.col("path"), "/")).alias("slashes")).first()
+    own = F.array_distinct(expressions(F.col("host"), F.col("path"), deep["labels"] or 1, deep["slashes"] or 0))
+    keyed = base.select("*", F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("_x")).withColumn("_digest", digest(F.col("_x"))).drop("_x")  # the null stands for the row
     keyed = keyed.withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
     known = rules.select(lower_ascii(F.col("host")).alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
     known = known.withColumn("_full", digest(F.concat("_host", F.lit("\n"), directory(F.col("_path"))))).withColumn("_prefix", F.substring("_full", 1, PREFIX_DIGITS))
     met = keyed.join(known, "_prefix", "left")
     fits = (F.col("_digest") == F.col("_full")) & F.col("path").startswith(F.col("_path"))
     fit = F.when(fits, F.struct((F.length("_host") + F.length("_path")).alias("n"), F.length("_host").alias("h"), F.col("_verdict").alias("verdict"), F.concat("_host", "_path").alias("rule")))
-    per_page = met.groupBy("page_id", "host", "path", "_rows").agg(F.max(fit).alias("_fit"))
+    per_page = met.groupBy("page_id", "host", "path").agg(F.max(fit).alias("_fit"), F.count_if(F.col("_digest").isNull()).alias("_rows"))
     once = F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))).alias("_copy")
     return per_page.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", F.lit(default)).alias("verdict"), once).drop("_copy")
 
