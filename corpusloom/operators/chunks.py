@@ -127,9 +127,11 @@ def section_of(chunks: DataFrame, marks: DataFrame, key: str, heading: Callable[
 def hashed_terms(rows: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
     """EMB-1: the sparse hashed vector of words and word pairs: id, ``bucket``, ``weight`` of unit length.
 
-    The first 8 hex digits of a feature's MD5 choose its bucket, the next two its sign.
+    The first 8 hex digits of a feature's MD5 choose its bucket, the next two its sign. The texts are
+    dealt by id before they are taken apart, so that sums and lengths need no further shuffle.
     """
-    words = rows.select(id_col, F.regexp_extract_all(F.lower(text_col), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a stated number
+    words = rows.select(id_col, text_col).repartition(tasks, id_col).select(id_col, F.regexp_extract_all(F.lower(text_col), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get(F.col("w"), i - 1), F.lit(" "), F.get(F.col("w"), i)))).otherwise(F.array().cast("array<string>"))
     features = words.select(id_col, F.explode(F.concat("w", pairs)).alias("f")).withColumn("h", F.md5(F.col("f").cast("binary")))
     bucket = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims).cast("int")

@@ -25,9 +25,7 @@ def metadata(docs: DataFrame, id_col: str, text_col: str, stem: Column | None =
 
 def heading_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line_no`` (from 0), ``start`` (code point of the line's first character) and ``section`` of each heading line."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.struct(F.get(lines, i - 1).alias("line"), (i - 1).alias("line_no")))
-    rows = docs.select(id_col, F.explode(starts).alias("x")).select(id_col, "x.line", "x.line_no")
+    rows = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
     before = W.partitionBy(id_col).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
     return rows.withColumn("section", T.heading(F.col("line")))

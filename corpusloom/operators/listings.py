@@ -108,11 +108,16 @@ def paper_summary(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", "title", F.coalesce("authors", none).alias("authors"), F.coalesce("keywords", none).alias("keywords"), F.array_sort(F.coalesce(F.map_keys("sections"), none)).alias("section_names"), F.coalesce("text_source", F.lit("native")).alias("text_source"))
 
 
-def corpus_stats(papers: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+def verification_rows(claims: DataFrame, verification_id: str) -> DataFrame:
+    """FIL-8: the judged claims of one past verification."""
+    return claims.filter(F.col("verification_id") == verification_id)
+
+
+def corpus_stats(papers: DataFrame, chunks: DataFrame, runs: DataFrame, reports: DataFrame) -> DataFrame:
     """STA-1: per owner."""
     own = papers.groupBy("owner_id").agg(F.count("*").alias("papers"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "failed").alias("failed"))
     n = lambda d, name: d.groupBy("owner_id").agg(F.count("*").alias(name))
-    return own.join(n(chunks, "chunks"), "owner_id", "left").join(n(runs, "runs"), "owner_id", "left").fillna(0, ["chunks", "runs"])
+    return own.join(n(chunks, "chunks"), "owner_id", "left").join(n(runs, "runs"), "owner_id", "left").join(n(reports, "reports"), "owner_id", "left").fillna(0, ["chunks", "runs", "reports"])
 
 
 def top_keywords(papers: DataFrame, most: int = 20) -> DataFrame:

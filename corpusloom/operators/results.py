@@ -41,6 +41,11 @@ def cached(requests: DataFrame, cache: DataFrame, now: Column, ttl_days: int = 3
     return hits, requests.select("key").distinct().join(fresh, "key", "left_anti")
 
 
+def purge_expired(cache: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
+    """LLM-3: the cache without the rows that have outlived their time; no limit (0) keeps all."""
+    return cache.filter(F.col("created_at") >= now - F.make_interval(days=F.lit(ttl_days))) if ttl_days > 0 else cache
+
+
 def count_hits(cache: DataFrame, hits: DataFrame) -> DataFrame:
     """LLM-3: the cache with its hit counts raised."""
     new = hits.groupBy("key").agg(F.count("*").alias("_n"))
@@ -105,11 +110,16 @@ def aggregate_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("task", F.initcap(F.btrim("task"))).filter("task <> ''").groupBy("task").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"))
 
 
-def comparison_table(items: DataFrame) -> DataFrame:
-    """EXT-4: three methods, three datasets and the first metric of each paper, a dash for none."""
+def comparison_table(items: DataFrame, tasks: DataFrame) -> DataFrame:
+    """EXT-4: two tasks, three methods, three datasets and the first metric of each paper with its value, a dash for none.
+
+    ``items``: ``paper_id``, ``field``, ``ord``, ``name``, ``value``; ``tasks``: ``paper_id``, ``ord``, ``task``.
+    """
+    valued = F.when((F.col("field") == "metrics") & (F.col("value") != ""), F.concat("name", F.lit(": "), "value")).otherwise(F.col("name"))
+    items = items.withColumn("name", valued).select("paper_id", "field", "ord", "name").unionByName(tasks.select("paper_id", F.lit("tasks").alias("field"), "ord", F.col("task").alias("name")))
     first = lambda field, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("ord", "name")))), lambda x: x["name"]), 1, n)
     dash = lambda a: F.when(F.size(a) > 0, F.array_join(a, ", ")).otherwise("—")
-    return items.groupBy("paper_id").agg(dash(first("methods", 3)).alias("methods"), dash(first("datasets", 3)).alias("datasets"), dash(first("metrics", 1)).alias("metric"))
+    return items.groupBy("paper_id").agg(dash(first("tasks", 2)).alias("tasks"), dash(first("methods", 3)).alias("methods"), dash(first("datasets", 3)).alias("datasets"), dash(first("metrics", 1)).alias("metric"))
 
 
 def entity_table(items: DataFrame, most: int = 25) -> DataFrame:
@@ -154,9 +164,18 @@ def order_gaps(gaps: DataFrame, papers: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(W.partitionBy("run_id").orderBy(rank[F.col("severity")], "place")))
 
 
+#: The fewest characters of a claim, of a text to verify, of a passage to explain.
+CLAIM, VERIFIABLE, EXPLAINABLE = 8, 20, 10
+
+
+def long_enough(text: Column, least: int) -> Column:
+    """FIL-13: whether a text has ``least`` characters or more between its blanks; null has none."""
+    return F.coalesce(F.length(F.btrim(text)) >= least, F.lit(False))
+
+
 def normalise_claims(raw: DataFrame, most: int = 25) -> DataFrame:
     """VER-1, FIL-13: claims of 8 characters or more, 25 per verification; type factual and checkable unless said."""
-    rows = raw.withColumn("claim", F.btrim("text")).filter(F.length("claim") >= 8)
+    rows = raw.withColumn("claim", F.btrim("text")).filter(long_enough(F.col("claim"), CLAIM))
     n = F.row_number().over(W.partitionBy("verification_id").orderBy("ord"))
     rows = rows.withColumn("claim_index", n - 1).filter(F.col("claim_index") < most)
     return rows.select("verification_id", "claim_index", "claim", F.coalesce("type", F.lit("factual")).alias("type"), F.coalesce("checkable", F.lit(True)).alias("checkable"))

@@ -49,11 +49,15 @@ def entity_table(spark: SparkSession, sf: str) -> DataFrame:
     return R.entity_table(items(spark, sf))
 
 
-@query(with_views(["payloads_v"], """, o AS (SELECT paper_id, list(name ORDER BY ord, name) FILTER (field = 'methods') AS m, list(name ORDER BY ord, name) FILTER (field = 'datasets') AS d, list(name ORDER BY ord, name) FILTER (field = 'metrics') AS x FROM payloads_v GROUP BY paper_id)
-SELECT paper_id, coalesce(array_to_string(m[1:3], ', '), '—') AS methods, coalesce(array_to_string(d[1:3], ', '), '—') AS datasets, coalesce(x[1], '—') AS metric FROM o"""))
+@query(with_views(["payloads_v"], """, o AS (SELECT paper_id, list(name ORDER BY ord, name) FILTER (field = 'methods') AS m, list(name ORDER BY ord, name) FILTER (field = 'datasets') AS d, list(name || CASE WHEN CAST(paper_id[2:] AS BIGINT) % 2 = 1 THEN ': ' || (ord * 10) ELSE '' END ORDER BY ord, name) FILTER (field = 'metrics') AS x FROM payloads_v GROUP BY paper_id),
+k AS (SELECT 'o' || l_orderkey AS paper_id, list(split_part(p_type, ' ', 1) ORDER BY l_linenumber, p_type) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT paper_id, coalesce(array_to_string(t[1:2], ', '), '—') AS tasks, coalesce(array_to_string(m[1:3], ', '), '—') AS methods, coalesce(array_to_string(d[1:3], ', '), '—') AS datasets, coalesce(x[1], '—') AS metric FROM o LEFT JOIN k USING (paper_id)"""))
 def comparison_table(spark: SparkSession, sf: str) -> DataFrame:
     """EXT-4"""
-    return R.comparison_table(items(spark, sf))
+    rows = items(spark, sf).withColumn("value", F.when(F.col("paper_ord") % 2 == 1, (F.col("ord") * 10).cast("string")))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    tasks = li.select(F.concat(F.lit("o"), "l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ord"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("task"))
+    return R.comparison_table(rows, tasks)
 
 
 @query("SELECT upper(split_part(p_type, ' ', 1)[1]) || lower(split_part(p_type, ' ', 1)[2:]) AS task, list_sort(list(DISTINCT 'o' || l_orderkey)) AS papers FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -92,6 +96,13 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
 
 
+@query(with_views(["cache_v"], ", now AS (SELECT max(ts) AS t FROM events) SELECT key, hit_count FROM cache_v, now WHERE created_at >= t - INTERVAL 30 DAY"))
+def cache_purge(spark: SparkSession, sf: str) -> DataFrame:
+    """LLM-3"""
+    now = table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return R.purge_expired(view(spark, sf, "cache_v"), F.lit(now)).select("key", "hit_count")
+
+
 @query(with_views(["cache_v"], "SELECT count(*) AS entries, CAST(sum(hit_count) AS BIGINT) AS calls_saved, round(sum(hit_count) / (count(*) + sum(hit_count)), 4) AS hit_rate FROM cache_v"))
 def cache_summary(spark: SparkSession, sf: str) -> DataFrame:
     """LLM-3, STA-6"""
@@ -351,7 +362,7 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(["claims_v"], "SELECT verification_id, claim_index, verdict FROM claims_v WHERE verification_id = 'v7'"))
 def past_verifications(spark: SparkSession, sf: str) -> DataFrame:
     """FIL-8"""
-    return view(spark, sf, "claims_v").filter("verification_id = 'v7'").select("verification_id", "claim_index", "verdict")
+    return L.verification_rows(view(spark, sf, "claims_v"), "v7").select("verification_id", "claim_index", "verdict")
 
 
 @query("SELECT event_id AS report_id, 'u' || user_id AS owner_id, event_type AS kind, CAST(event_id % 4 AS INT) AS n_sections, 0 AS n_citations, 2 AS n_papers FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50")
@@ -370,21 +381,22 @@ def paper_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return L.paper_summary(papers)
 
 
-@query("SELECT label, count(*) FILTER (length(trim(text)) >= 8) AS claims, count(*) FILTER (length(trim(text)) >= 20) AS verifiable FROM (SELECT text, lang AS label FROM documents) GROUP BY label")
+@query("SELECT label, count(*) FILTER (length(trim(text)) >= 8) AS claims, count(*) FILTER (length(trim(text)) >= 20) AS verifiable, count(*) FILTER (length(trim(text)) >= 10) AS explainable FROM (SELECT text, lang AS label FROM documents) GROUP BY label")
 def text_guards(spark: SparkSession, sf: str) -> DataFrame:
     """FIL-13"""
-    n = F.length(F.btrim("text"))
-    return table(spark, sf, "documents").groupBy(F.col("lang").alias("label")).agg(F.count_if(n >= 8).alias("claims"), F.count_if(n >= 20).alias("verifiable"))
+    n = {"claims": R.CLAIM, "verifiable": R.VERIFIABLE, "explainable": R.EXPLAINABLE}
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("label")).agg(*(F.count_if(R.long_enough(F.col("text"), least)).alias(k) for k, least in n.items()))
 
 
-@query(with_views(["papers_v"], """, c AS (SELECT source AS owner_id, count(*) AS chunks FROM (SELECT source, unnest(range((length(text) - 1) // 1000 + 1)) FROM documents WHERE length(text) > 0) GROUP BY source), r AS (SELECT source AS owner_id, count(*) AS runs FROM documents JOIN labels USING (doc_id) GROUP BY source)
-SELECT owner_id, count(*) AS papers, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, coalesce(any_value(chunks), 0) AS chunks, coalesce(any_value(runs), 0) AS runs FROM papers_v LEFT JOIN c USING (owner_id) LEFT JOIN r USING (owner_id) GROUP BY owner_id"""))
+@query(with_views(["papers_v"], """, c AS (SELECT source AS owner_id, count(*) AS chunks FROM (SELECT source, unnest(range((length(text) - 1) // 1000 + 1)) FROM documents WHERE length(text) > 0) GROUP BY source), r AS (SELECT source AS owner_id, count(*) AS runs FROM documents JOIN labels USING (doc_id) GROUP BY source), g AS (SELECT source AS owner_id, count(*) AS reports FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source)
+SELECT owner_id, count(*) AS papers, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, coalesce(any_value(chunks), 0) AS chunks, coalesce(any_value(runs), 0) AS runs, coalesce(any_value(reports), 0) AS reports FROM papers_v LEFT JOIN c USING (owner_id) LEFT JOIN r USING (owner_id) LEFT JOIN g USING (owner_id) GROUP BY owner_id"""))
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     """STA-1"""
     from corpusloom.operators import chunks as C
 
     docs = table(spark, sf, "documents").withColumnRenamed("source", "owner_id")
-    return L.corpus_stats(view(spark, sf, "papers_v"), C.fixed_chunks(docs, "owner_id", "text"), docs.join(table(spark, sf, "labels"), "doc_id"))
+    runs = docs.join(table(spark, sf, "labels"), "doc_id")
+    return L.corpus_stats(view(spark, sf, "papers_v"), C.fixed_chunks(docs, "owner_id", "text"), runs, runs.filter("quality = 1"))
 
 
 @query(P + "SELECT keyword, count(*) AS n FROM (SELECT array_to_string(list_transform(string_split(k, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS keyword FROM (SELECT unnest(keywords) AS k FROM q)) GROUP BY keyword ORDER BY n DESC, keyword LIMIT 20")

@@ -238,3 +238,27 @@ def test_no_cartesian_product_where_keys_exist(spark):
     for name in ("doc_sections", "chunk_page", "hash_embed", "rrf_search", "extract_aggregate", "related_works", "owner_scope"):
         plan = ALL_QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_a_late_row_does_not_undo_a_newer_state(spark, tmp_path):
+    """The newer row comes in the first file, the older one in the second."""
+    import datetime
+    import os
+    import time
+
+    schema = "job_id string, item_no long, state string, ts timestamp_ntz"
+    day = datetime.datetime(2024, 1, 1)
+    batches = [[("j", 1, "indexed", day + datetime.timedelta(hours=2)), ("j", 2, "running", day)], [("j", 1, "running", day), ("k", 1, "failed", day)], [("j", 2, "indexed", day + datetime.timedelta(hours=1))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name in os.listdir(f"{tmp_path}/in"):
+            if name.startswith("part-") and not os.path.exists(f"{tmp_path}/{name}.seen"):
+                os.utime(f"{tmp_path}/in/{name}", (time.time() - 100 + i, time.time() - 100 + i))
+                open(f"{tmp_path}/{name}.seen", "w").close()
+    from corpusloom.streaming import jobs
+
+    stream = jobs.job_changes(jobs.stream_of(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema))
+    query = stream.writeStream.format("memory").queryName("late_rows").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["job_id"], r["total"], r["completed"], r["failed"], r["terminal"]) for r in spark.table("late_rows").collect())
+    assert got == [("j", 2, 1, 0, False), ("j", 2, 2, 0, True), ("k", 1, 0, 1, True)]
