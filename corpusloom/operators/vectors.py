@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.storage import cut
+
 BROADCAST_ROWS = 10_000
+#: The openings of questions that a variant leaves out.
 PREFIXES = ["what is ", "what are ", "how does ", "how do ", "why is ", "why do ", "which "]
 
 
@@ -50,10 +58,56 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "que
 
 
 def sparse_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", places: int = 6) -> DataFrame:
-    """VEC-2 over sparse vectors (``bucket``, ``weight``): an equi-join by bucket, summed per pair."""
-    pairs = queries.withColumnRenamed("weight", "_w").join(items, "bucket").groupBy(query_id, item_id).agg(F.round(F.sum(F.col("_w") * F.col("weight")), places).alias("score"))
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(item_id))) - 1
-    return pairs.withColumn("rank", rank).filter(F.col("rank") < k)
+    """VEC-2 over sparse vectors (``bucket``, ``weight``): the ``k`` best items that share a bucket with the query.
+
+    A query or an item is one row of at most as many weights as there are buckets. Query blocks of at
+    most ``BROADCAST_ROWS`` go to all tasks; a task multiplies batches of items with them and keeps
+    each query's best ``k`` of a batch, so pairs never become rows.
+    """
+    vector = F.collect_list(F.struct("bucket", "weight")).alias("v")
+    asked = queries.groupBy(query_id).agg(vector).select(F.monotonically_increasing_id().alias("_q"), query_id, "v")
+    asked = cut(asked, "queries")
+    held = items.groupBy(F.col(item_id).alias("_item")).agg(vector)
+    kind = dict(held.dtypes)["_item"]
+    out = None
+    for block in blocks_of(asked, "_q"):
+        rows = block.select("_q", "v").toPandas()  # a block of the stated queries
+        best = held.mapInArrow(batch_best(rows["_q"].to_numpy(), list(rows["v"]), k, places), f"_q long, _item {kind}, score double")
+        rank = F.row_number().over(W.partitionBy("_q").orderBy(F.col("score").desc(), F.col("_item"))) - 1
+        ranked = best.withColumn("score", F.round("score", places)).withColumn("rank", rank).filter(F.col("rank") < k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.join(asked.select("_q", query_id), "_q").select(query_id, F.col("_item").alias(item_id), "score", "rank")
+
+
+def batch_best(numbers: np.ndarray, vectors: list, k: int, places: int, at_once: int = 256):
+    """For ``sparse_top_k``: from batches of items (id, sparse vector) to the best ``k`` of each batch for each query."""
+    width = 1 + max((b for v in vectors for b, _ in v), default=0)
+    asked = np.zeros((len(vectors), width))
+    for row, v in zip(asked, vectors, strict=True):
+        for b, w in v:
+            row[b] = w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            item = np.repeat(np.arange(len(lists)), np.diff(starts))
+            bucket, weight = flat.field("bucket").to_numpy(), flat.field("weight").to_numpy()
+            fits = bucket < width
+            dense = np.zeros((len(lists), width))
+            dense[item[fits], bucket[fits]] = weight[fits]
+            order = np.argsort(pc.rank(batch.column(0)).to_numpy(), kind="stable")  # ties go by id
+            dense, shares = dense[order], (dense[order] != 0).astype(np.float32)
+            for at in range(0, len(asked), at_once):
+                own = asked[at : at + at_once]
+                score = np.round(own @ dense.T, places)
+                score[(own != 0).astype(np.float32) @ shares.T == 0] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                kept = np.take_along_axis(score, top, axis=1)
+                query, nth = np.nonzero(kept > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at + query]), batch.column(0).take(pa.array(order[top[query, nth]])), pa.array(kept[query, nth])], names=["_q", "_item", "score"])
+
+    return run
 
 
 def approximate_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", width: float = 0.8, tables: int = 12, radius: float = 1.2) -> DataFrame:
