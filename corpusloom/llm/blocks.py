@@ -45,16 +45,26 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def units_of(keys: DataFrame, weights: DataFrame, small: int = SMALL, tile: int = TILE, tile_weight: int = TILE_WEIGHT) -> tuple[DataFrame, DataFrame]:
+def units_of(keys: DataFrame, weights: DataFrame, small: int = SMALL, tile: int = TILE, tile_weight: int = TILE_WEIGHT, like: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Units of candidates, and for each node that has candidates which of its keys are frequent.
 
     ``keys``: ``node``, ``band``, ``key`` (a key stands for its band too). ``weights``: ``node``,
     ``weight``. Returns ``unit``, ``node``, ``side`` (0, 1, or 2 for both), ``band`` (-1 in tiles),
-    and ``node``, ``hot_bands`` as a sorted array.
+    and ``node``, ``hot_bands`` as a sorted array. With ``like``, ``keys`` has a ``size`` too, and a
+    node whose size is below ``like`` times that of each other node of a key, or above as much, is
+    left out of that key's unit.
     """
     counts = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1"), "counts")
     members = cut(keys.join(counts, "key"), "members")
-    few = members.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.min("band").alias("band"))
+    few = members.filter(F.col("n") <= small)
+    if like is None:
+        few = few.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.min("band").alias("band"))
+    else:
+        all_ = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("size", "node"))).alias("all"), F.min("band").alias("band"))
+        # neighbours by size tell whether any is near enough
+        sizes = F.transform("all", lambda x: x["size"])
+        near = lambda i: F.coalesce(F.get(sizes, i - 1) >= like * F.get(sizes, i), F.lit(False)) | F.coalesce(F.get(sizes, i) >= like * F.get(sizes, i + 1), F.lit(False))
+        few = all_.select(F.array_sort(F.transform(F.filter("all", lambda x, i: near(i)), lambda x: x["node"])).alias("nodes"), "band").filter(F.size("nodes") > 1)
     few = few.groupBy("nodes").agg(F.min("band").alias("band"))
     units = few.select(F.xxhash64("nodes").alias("unit"), F.explode("nodes").alias("node"), F.lit(2).alias("side"), "band")
     many = members.filter(F.col("n") > small)
