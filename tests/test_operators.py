@@ -79,7 +79,7 @@ def test_recursive_chunks(size, overlap):
 
 
 def test_hash_embedder_is_deterministic_and_near_for_related_texts():
-    a, b, c, zero = C.hash_embedder(256)(["deep learning for speech", "speech with deep learning", "crop rotation in autumn", ""])
+    a, b, c, zero = C.hash_embedder(256)(["deep learning for speech", "speech with deep learning", "ferry timetables in winter", ""])
     assert abs(float(a @ a) - 1) < 1e-5 and float(a @ b) > float(a @ c) and not zero.any()
 
 
@@ -103,21 +103,21 @@ def test_packing_stops_at_the_first_overflow(spark):
     assert V.pack_blocks(df, "k", "o", "b", 10, "|").first()["context"] == "aaaa"
 
 
-SWANSON_NODES = [("fish", "Fish Oil", "Concept", ["p1"]), ("visc", "Blood Viscosity", "Concept", ["p1", "p2"]), ("ray", "Raynaud's Disease", "Concept", ["p2"]), ("soil", "Soil", "Concept", ["p3"]), ("crop", "Crop Rotation", "Concept", ["p4"]), ("hub", "Study", "Concept", ["p5"])]
-SWANSON_EDGES = [("fish", "visc", "AFFECTS", ["p1"]), ("visc", "ray", "AFFECTS", ["p2"]), ("fish", "hub", "USES", ["p1"]), ("hub", "crop", "USES", ["p4"]), ("hub", "soil", "USES", ["p3"]), ("fish", "soil", "MENTIONS", ["p3"])]
+ASH_NODES = [("ash", "Volcanic Ash", "Concept", ["p1"]), ("seed", "Cloud Seeds", "Concept", ["p1", "p2"]), ("glow", "Albedo", "Concept", ["p1", "p3"]), ("vine", "Harvest Date", "Concept", ["p2", "p3"]), ("hub", "Survey", "Concept", ["p5"]), *((f"s{i}", f"Ship Route {i}", "Concept", [f"p{10 + i}"]) for i in range(4))]
+ASH_EDGES = [("ash", "seed", "AFFECTS", ["p1"]), ("ash", "glow", "AFFECTS", ["p1"]), ("seed", "vine", "AFFECTS", ["p2"]), ("vine", "glow", "USES", ["p3"]), ("ash", "hub", "USES", ["p1"]), *(("hub", f"s{i}", "USES", [f"p{10 + i}"]) for i in range(4)), ("ash", "s0", "MENTIONS", ["p1"])]
 NODE, EDGE = "id string, name string, type string, papers array<string>", "source string, target string, type string, papers array<string>"
 
 
 def discover(spark, nodes, edges, **kw):
     ent, adj = X.entity_graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
-    return [r["c_name"] for r in X.open_discovery(spark.createDataFrame([("fish",)], "id string"), ent, adj, **kw).orderBy("place").collect()]
+    return [r["c_name"] for r in X.open_discovery(spark.createDataFrame([("ash",)], "id string"), ent, adj, **kw).orderBy("place").collect()]
 
 
 def test_open_discovery(spark):
-    assert discover(spark, SWANSON_NODES, SWANSON_EDGES)[0] == "Raynaud's Disease"
-    assert "Raynaud's Disease" not in discover(spark, SWANSON_NODES, [*SWANSON_EDGES, ("ray", "fish", "CITES", ["p9"])])
-    shared = [n if n[0] != "ray" else (*n[:3], ["p1"]) for n in SWANSON_NODES]
-    assert "Raynaud's Disease" not in discover(spark, shared, SWANSON_EDGES) and "Raynaud's Disease" in discover(spark, shared, SWANSON_EDGES, disjoint=False)
+    assert discover(spark, ASH_NODES, ASH_EDGES)[0] == "Harvest Date"
+    assert "Harvest Date" not in discover(spark, ASH_NODES, [*ASH_EDGES, ("vine", "ash", "CITES", ["p9"])])
+    shared = [n if n[0] != "vine" else (*n[:3], ["p1"]) for n in ASH_NODES]
+    assert "Harvest Date" not in discover(spark, shared, ASH_EDGES) and "Harvest Date" in discover(spark, shared, ASH_EDGES, disjoint=False)
 
 
 def test_aliases_merge(spark):
