@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +56,26 @@ def table_set(spark: SparkSession, name: str) -> Iterator[None]:
         _here.folder = outer
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What ``cut`` writes inside is deleted at the end; what outlives it goes through the function given, a ``cut`` to the folder outside."""
+    outer = getattr(_here, "folder", None)
+    _here.folder = own = f"{outer or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str = "step") -> DataFrame:
+        _here.folder = outer
+        try:
+            return cut(df, name)
+        finally:
+            _here.folder = own
+
+    try:
+        yield keep
+    finally:
+        _here.folder = outer
+        delete(spark, own)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: same rows, no lineage."""
     spark = df.sparkSession
