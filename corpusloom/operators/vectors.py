@@ -110,15 +110,21 @@ def batch_best(numbers: np.ndarray, vectors: list, k: int, places: int, at_once:
     return run
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", width: float = 0.8, tables: int = 12, radius: float = 1.2) -> DataFrame:
-    """VEC-3: candidates from random projections of unit vectors, ranked exactly among themselves."""
+def approximate_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", width: float = 0.8, tables: int = 12, radius: float = 2.01) -> DataFrame:
+    """VEC-3: candidates from random projections of unit vectors, ranked exactly among themselves.
+
+    No candidate is too far by default (unit vectors are at most 2 apart). The default width suits
+    vectors that have no near neighbours, where narrower buckets lose recall and most rows are
+    candidates; for clustered vectors a smaller ``width`` spares comparisons. Ranks are cut to ``k``
+    before rows meet, by Spark's limit on groups.
+    """
     norm = lambda d, i: d.select(i, "embedding", array_to_vector(F.transform("embedding", lambda x: (x / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).cast("double"))).alias("v"))
     left, right = norm(queries, query_id), norm(items, item_id)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(right)
     near = model.approxSimilarityJoin(left, right, radius, distCol="d")
     pairs = near.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{item_id}").alias(item_id), F.round(1 - F.col("d") * F.col("d") / 2, 4).alias("score"))
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(item_id))) - 1
-    return pairs.withColumn("rank", rank).filter(F.col("rank") < k)
+    place = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(item_id)))
+    return pairs.withColumn("_r", place).filter(F.col("_r") <= k).select("*", (F.col("_r") - 1).alias("rank")).drop("_r")
 
 
 def chunk_page(chunks: DataFrame, key: str, order: str, offset: int, limit: int) -> DataFrame:
