@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, fingerprints, infill, jaccard_join, language_crf, line_dedup, mixing, packing, sharding, toxicity, url_filter
+from corpusloom.llm import exact_dedup, fingerprints, infill, jaccard_join, language_crf, line_dedup, mixing, packing, prefix_trie, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op4_url_filter": url_filter.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_fill_in_middle": infill.SQL,
 }
