@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, fingerprints, infill, jaccard_join, language_crf, line_dedup, mixing, packing, prefix_trie, sharding, toxicity, url_filter
+from corpusloom.llm import exact_dedup, fingerprints, infill, jaccard_join, language_crf, line_dedup, mixing, packing, prefix_trie, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
