@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,25 +34,58 @@ def blocks_of(stated: DataFrame, id_col: str, rows: int = BROADCAST_ROWS) -> lis
     return [stated] if n <= 2 else [stated.filter(F.pmod(F.xxhash64(id_col), F.lit(n)) == i) for i in range(n)]
 
 
+def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """A row of length one for each vector; null and zero vectors and those of another width are zeros."""
+    flat = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out, fits = np.zeros((len(lists), width)), size == width
+    out[fits] = flat[np.repeat(fits, size)].reshape(int(fits.sum()), width)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", scope: DataFrame | None = None, scope_key: str = "paper_id") -> DataFrame:
     """VEC-2: the ``k`` nearest items of each query, ranked from 0.
 
-    Items are scoped before they are ranked. Queries are a stated set: they are sent to all tasks if
-    they are at most ``BROADCAST_ROWS`` (counted), else cut into blocks, one pass each.
-    Each slice of the items keeps its own best ``k`` per query before the rest meet.
+    Items are scoped before they are ranked. Queries are a stated set: blocks of at most ``BROADCAST_ROWS``
+    (counted) go to all tasks, one pass each. A task multiplies batches of items with the block and keeps each
+    query's best ``k`` of a batch, so pairs never become rows. Null and zero vectors and those of another
+    width score 0.
     """
     if scope is not None:
         items = items.join(scope.select(scope_key).distinct(), scope_key, "left_semi")
-    out = None
-    for block in blocks_of(queries, query_id):
-        q = block.select(query_id, F.col("embedding").alias("_q"))
-        scored = items.select(item_id, "embedding").crossJoin(F.broadcast(q)).select(query_id, item_id, F.round(cosine(F.col("embedding"), F.col("_q")), 4).alias("score"))
-        scored = scored.withColumn("_part", F.pmod(F.xxhash64(item_id), F.lit(64)))
-        best = [F.col("score").desc(), F.col(item_id)]
-        local = scored.withColumn("_r", F.row_number().over(W.partitionBy(query_id, "_part").orderBy(*best))).filter(F.col("_r") <= k)
-        ranked = local.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(*best)) - 1).filter(F.col("rank") < k).select(query_id, item_id, "score", "rank")
+    asked = cut(queries.select(F.monotonically_increasing_id().alias("_q"), query_id, "embedding"), "queries")
+    held = items.select(F.col(item_id).alias("_item"), "embedding")
+    kind, out = dict(held.dtypes)["_item"], None
+    for block in blocks_of(asked, "_q"):
+        rows = block.select("_q", "embedding").toArrow()  # a block of the stated queries
+        vectors = rows["embedding"].combine_chunks()
+        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        groups = [(int(w), own, matrix(vectors.take(pa.array(own)), int(w))) for w in np.unique(size) for own in [np.flatnonzero(size == w)]]
+        shared = queries.sparkSession.sparkContext.broadcast((rows["_q"].to_numpy(), groups))
+        best = held.mapInArrow(dense_best(shared, k), f"_q long, _item {kind}, score double")
+        place = F.row_number().over(W.partitionBy("_q").orderBy(F.col("score").desc(), F.col("_item")))
+        ranked = best.withColumn("_r", place).filter(F.col("_r") <= k).select("_q", "_item", "score", (F.col("_r") - 1).alias("rank"))
         out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return out.join(asked.select("_q", query_id), "_q").select(query_id, F.col("_item").alias(item_id), "score", "rank")
+
+
+def dense_best(shared, k: int, at_once: int = 256, places: int = 4):
+    """For ``top_k``: from batches of items (id, vector) to the best ``k`` of each batch for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, groups = shared.value
+        for batch in batches:
+            order = np.argsort(pc.rank(batch.column(0)).to_numpy(), kind="stable")  # ties go by id
+            for width, own, asked in groups:
+                items = matrix(batch.column(1), width)[order].T
+                for at in range(0, len(own), at_once):
+                    score = np.round(asked[at : at + at_once] @ items, places) + 0.0
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    query, nth = np.nonzero(top >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[own[at + query]]), batch.column(0).take(pa.array(order[top[query, nth]])), pa.array(score[query, top[query, nth]])], names=["_q", "_item", "score"])
+
+    return run
 
 
 def sparse_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", places: int = 6) -> DataFrame:
@@ -110,23 +141,6 @@ def batch_best(numbers: np.ndarray, vectors: list, k: int, places: int, at_once:
     return run
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, k: int = 8, query_id: str = "query_id", item_id: str = "item_id", width: float = 0.8, tables: int = 12, radius: float = 2.01) -> DataFrame:
-    """VEC-3: candidates from random projections of unit vectors, ranked exactly among themselves.
-
-    No candidate is too far by default (unit vectors are at most 2 apart). The default width suits
-    vectors that have no near neighbours, where narrower buckets lose recall and most rows are
-    candidates; for clustered vectors a smaller ``width`` spares comparisons. Ranks are cut to ``k``
-    before rows meet, by Spark's limit on groups.
-    """
-    norm = lambda d, i: d.select(i, "embedding", array_to_vector(F.transform("embedding", lambda x: (x / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).cast("double"))).alias("v"))
-    left, right = norm(queries, query_id), norm(items, item_id)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, distCol="d")
-    pairs = near.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{item_id}").alias(item_id), F.round(1 - F.col("d") * F.col("d") / 2, 4).alias("score"))
-    place = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(item_id)))
-    return pairs.withColumn("_r", place).filter(F.col("_r") <= k).select("*", (F.col("_r") - 1).alias("rank")).drop("_r")
-
-
 def chunk_page(chunks: DataFrame, key: str, order: str, offset: int, limit: int) -> DataFrame:
     """VEC-4/5: a page of each document's chunks, with the total."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(order))
@@ -194,6 +208,7 @@ def paper_budget(n: Column) -> Column:
     return F.when(n <= 1, 90_000).when(n <= 3, 45_000).when(n <= 6, 25_000).when(n <= 12, 14_000).otherwise(8_000)
 
 
+#: The sections that inform most, in order.
 INFORMATIVE = ["abstract", "introduction", "method", "experiments", "results", "discussion", "limitations", "conclusion"]
 
 
