@@ -1,6 +1,6 @@
 """Passages that repeat across documents, found by compressed full-text indexes over shards of words.
 
-Equal windows have the same smallest hash among the runs of GRAM words in them. Neighbouring windows
+Equal windows have the same smallest hash among the runs of a few words in them. Neighbouring windows
 that share it are one piece, and pieces with one smallest hash go to one shard: so equal windows meet,
 and a document is streamed past the few shards that can hold a match of it, not past all.
 """
@@ -8,6 +8,7 @@ and a document is streamed past the few shards that can hold a match of it, not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ from corpusloom.llm.infill import text_slices
 from corpusloom.llm.rows import row_key
 from corpusloom.storage import cut, scratch
 
-#: Words of a window, and of the runs whose hashes choose its shard.
-WINDOW, GRAM = 50, 8
+#: Words of a window, and of the runs whose hashes choose its shard: the first, and longer ones for crowds.
+WINDOW, GRAMS = 50, (8, 32)
 #: Windows of a piece at most; words that are hashed at a time; words of a shard, about.
 RUN, CHUNK, SHARD_WORDS = 64, 1 << 20, 1 << 19
-#: Pieces that share a smallest hash beyond which their windows go on one by one.
+#: Pieces that share a smallest hash beyond which they are cut again by longer runs.
 CROWD = 1024
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -57,13 +58,25 @@ class Words:
         return table[coded.indices.to_numpy()] if len(self) else np.zeros(0, np.uint64)
 
 
+def run_hashes(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash for each run of ``gram`` words, put together from runs of powers of two."""
+    base, power, width, out, done = np.uint64(0x9E3779B97F4A7C15), hashes, 1, None, 0
+    while True:
+        if gram & width:
+            out = power if out is None else out[: len(out) - width] * base + power[done : done + len(out) - width]
+            done += width
+        if done == gram:
+            break
+        power = power[:-width] * base + power[width:]
+        width, base = 2 * width, np.uint64(int(base) ** 2 & (1 << 64) - 1)
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(32))
+
+
 def smallest_hashes(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each window of words the smallest hash of a run of ``gram`` words (a power of two) in it."""
-    step = 1
-    while step < gram:
-        hashes = (hashes[:-step] * np.uint64(0x9E3779B97F4A7C15) + hashes[step:]) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(31)
-        step *= 2
+    """For each window of words the smallest hash of a run of ``gram`` words in it."""
+    hashes = run_hashes(hashes, gram)
     width, wanted = 1, window - gram + 1
     while width < wanted:
         step = min(width, wanted - width)
@@ -91,24 +104,25 @@ def pieces_in(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """``key`` (id and text), ``id``, ``start``, ``windows``, ``least`` and ``piece`` (128 bits of its words) of each piece."""
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
-    names = ["key", "id", "start", "windows", "least", "piece"]
+def occurrences(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """``start``, ``windows``, ``least`` and ``piece`` (128 bits of its words) of each piece, with all columns of ``rows`` but its last, ``text``."""
+    carried = rows.columns[:-1]
+    names = [*carried, "start", "windows", "least", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, starts in text_slices(batch, 2):
+            for part, data, starts in text_slices(batch, len(carried)):
                 words = Words(data, starts)
                 text, first, windows, least = pieces_in(words, window, gram)
                 view = memoryview(words.data)
                 bounds = zip(words.starts[first].tolist(), words.ends[first + windows + window - 2].tolist(), strict=True)
                 piece = [xxhash.xxh3_128_digest(view[a:b]) for a, b in bounds]
                 own = pa.array(text, pa.int64())
-                columns = [part.column(0).take(own), part.column(1).take(own), pa.array(first - words.texts[text], pa.int32()), pa.array(windows, pa.int32()), pa.array(least), pa.array(piece, pa.binary())]
+                columns = [*(part.column(k).take(own) for k in range(len(carried))), pa.array(first - words.texts[text], pa.int32()), pa.array(windows, pa.int32()), pa.array(least), pa.array(piece, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "key binary, id long, start int, windows int, least long, piece binary")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", start int, windows int, least long, piece binary")
 
 
 def by_id() -> list[Column]:
@@ -124,9 +138,8 @@ def ids() -> list[Column]:
 SHARED = "low < high OR (low IS NOT NULL AND none = 1)"
 
 
-def cut_pieces(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The words of pieces: ``wanted`` has ``key``, ``start``, ``windows``, ``piece``, ``least``, ``low``, ``high``, ``none``."""
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.concat(F.col(text_col), F.lit(" ")).alias("text"))
+def cut_pieces(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The words of pieces. ``rows``: ``key``, ``text``; ``wanted``: ``key``, ``start``, ``windows``, ``piece``, ``least``, ``low``, ``high``, ``none``."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "piece", "least", "low", "high", "none")).alias("pieces"))
     both = rows.join(lists, "key").select("key", "text", "pieces")
     kinds = {"piece": pa.binary(), "least": pa.int64(), "low": pa.int64(), "high": pa.int64(), "none": pa.int32(), "words": pa.binary()}
@@ -150,23 +163,25 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return both.mapInArrow(run, "piece binary, least long, low long, high long, none int, words binary")
 
 
-def single_windows(pieces: DataFrame, window: int) -> DataFrame:
-    """``piece``, ``at``, ``name`` (128 bits of the words), ``low``, ``high``, ``none`` of each window of the pieces."""
-    kinds = {"piece": pa.binary(), "at": pa.int32(), "name": pa.binary(), "low": pa.int64(), "high": pa.int64(), "none": pa.int32()}
+@dataclass
+class Level:
+    """Pieces by runs of one length: where they occur, the distinct ones, and those whose smallest hash too many others share."""
+
+    some: DataFrame
+    distinct: DataFrame
+    crowds: DataFrame | None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                out = {k: [] for k in kinds}
-                for row in batch.slice(at, 4096).to_pylist():
-                    text, ends = row["words"], [i for i, c in enumerate(row["words"]) if c == 32] + [len(row["words"])]
-                    starts = [0, *(e + 1 for e in ends)]
-                    for k in range(len(ends) - window + 1):
-                        for c, v in zip(out.values(), (row["piece"], k, xxhash.xxh3_128_digest(text[starts[k] : ends[k + window - 1]]), row["low"], row["high"], row["none"]), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
-    return pieces.select("piece", "low", "high", "none", "words").mapInArrow(run, "piece binary, at int, name binary, low long, high long, none int")
+def spans_of(some: DataFrame, decided: DataFrame) -> DataFrame:
+    """``key``, ``s``: the windows (from, to) that repeat what comes before, of those that hold pieces (``some``).
+
+    ``decided`` has the smallest document of each piece, and what that one repeats. A document after it repeats
+    the whole piece.
+    """
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
+    later = (F.col("low") > F.col("_low")) | (F.col("low").isNull() & F.col("_low").isNotNull())
+    joined = some.select("key", "start", "windows", "piece", "low").join(decided.withColumnRenamed("low", "_low"), "piece")
+    return joined.select("key", "start", F.explode(F.when(later, whole).otherwise(F.col("spans"))).alias("s")).select("key", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
 
 
 def search_shard(pieces: list[bytes], low: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +213,7 @@ def search_shard(pieces: list[bytes], low: np.ndarray, window: int) -> tuple[np.
 
 
 def search(shards: DataFrame, window: int) -> DataFrame:
-    """``piece``, ``least_id`` (of its first window) and ``spans`` of its windows that begin in a document before its own first.
+    """``piece`` and the ``spans`` of its windows that begin in a document before its own first.
 
     ``shards``: ``shard``, ``piece``, ``low``, ``words``.
     """
@@ -216,55 +231,58 @@ def search(shards: DataFrame, window: int) -> DataFrame:
         row, first = np.nonzero(edges == 1)
         last = np.nonzero(edges == -1)[1]
         spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(windows)))]), pa.int32()), pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["a", "b"]))
-        least = pa.array([int(values[r]) if r < len(values) else None for r in found[:, 0]], pa.int64())
-        return pa.Table.from_arrays([table["piece"], least, spans], names=["piece", "least_id", "spans"])
+        return pa.Table.from_arrays([table["piece"], spans], names=["piece", "spans"])
 
-    return shards.groupBy("shard").applyInArrow(run, "piece binary, least_id long, spans array<struct<a:int,b:int>>")
+    return shards.groupBy("shard").applyInArrow(run, "piece binary, spans array<struct<a:int,b:int>>")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grams: tuple[int, ...] = GRAMS, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``key`` (``row_key``), ``spans``: the words (from, to) of each document that a repeated window covers, unmerged.
 
-    Every step reads what the one before has written. What a hash decides is 128 bits wide.
+    Where more than ``crowd`` distinct pieces share a smallest hash, they are cut again by longer runs, at last by
+    whole windows; of these only what two documents share goes on. What a hash decides is 128 bits wide.
+    Every step reads what the one before has written.
     """
     spark = docs.sparkSession
     with scratch(spark, "passages") as keep:
-        all_pieces = cut(occurrences(docs, id_col, text_col, window, gram), "pieces")
-        shared = cut(all_pieces.select("least", *ids()).groupBy("least").agg(*by_id()).filter(SHARED).select("least"), "shared")
-        some = cut(all_pieces.join(shared, "least"), "some")
-        holder = F.min_by(F.struct("key", "start"), F.struct(F.col("id").isNull(), "id", "key", "start")).alias("_holder")
-        distinct = some.select("least", "piece", "windows", "key", "start", "id", *ids()).groupBy("least", "piece", "windows").agg(*by_id(), holder)
-        distinct = cut(distinct.select("least", "piece", "windows", "low", "high", "none", "_holder.*"), "distinct")
-        crowds = cut(distinct.groupBy("least").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select("least"), "crowds")
-        texts = cut(cut_pieces(docs, distinct, id_col, text_col, window), "texts")
-        ready, windows = texts, None
-        if not crowds.isEmpty():
-            crowded = texts.join(crowds, "least")
-            windows = cut(single_windows(crowded, window), "windows")
-            first = F.min_by(F.struct("piece", "at"), F.struct(F.col("low").isNull(), "low", "piece", "at")).alias("_holder")
-            again = cut(windows.groupBy("name").agg(*by_id(), first).filter(SHARED).select("name", "low", "_holder.*"), "again")
-            texts_of = again.groupBy("piece").agg(F.collect_list(F.struct("name", "low", "at")).alias("_own"))  # RUN windows of a piece at most
-            own = texts.select("piece", "words").dropDuplicates(["piece"]).join(texts_of, "piece").select("words", F.explode("_own").alias("w"))
-            cut_out = F.concat_ws(" ", F.slice(F.split(F.col("words").cast("string"), " "), F.col("w.at") + 1, window)).cast("binary")
-            singles = own.select(F.col("w.name").alias("piece"), F.xxhash64("w.name").alias("least"), F.col("w.low").alias("low"), cut_out.alias("words"))
-            ready = texts.join(crowds, "least", "left_anti").select("piece", "least", "low", "words").unionByName(singles)
-        ready = cut(ready.select("piece", "least", "low", "words"), "ready") if windows is not None else ready.select("piece", "least", "low", "words")
+        texts = docs.select(row_key(id_col, text_col).alias("key"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
+        rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
+        levels, ready = [], None
+        for gram in (*grams, window):
+            made = cut(occurrences(rows, window, gram), "pieces")
+            bounds = ids() if not levels else [F.col(c) for c in ("low", "high", "none")]
+            shared = cut(made.select("least", *bounds).groupBy("least").agg(*by_id()).filter(SHARED).select("least"), "shared")
+            some = cut(made.join(shared, "least").select("key", "start", "windows", "least", "piece", *bounds), "some")
+            holder = F.min_by(F.struct("key", "start"), F.struct(F.col("low").isNull(), "low", "key", "start")).alias("_holder")
+            distinct = some.groupBy("least", "piece", "windows").agg(*by_id(), holder)
+            distinct = cut(distinct.select("least", "piece", "windows", "low", "high", "none", "_holder.*"), "distinct")
+            crowds = cut(distinct.groupBy("least").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select("least"), "crowds") if gram < window else None
+            words = cut(cut_pieces(texts, distinct, window), "texts")
+            if crowds is not None and crowds.isEmpty():
+                crowds = None
+            levels.append(Level(some, distinct, crowds))
+            own = words.select("piece", "least", "low", "words")
+            own = own if crowds is None else own.join(crowds, "least", "left_anti")
+            ready = own if ready is None else ready.unionByName(own)
+            if crowds is None:
+                break
+            rows = words.dropDuplicates(["piece"]).join(crowds, "least", "left_semi").select(F.col("piece").alias("key"), "low", "high", "none", F.concat(F.col("words").cast("string"), F.lit(" ")).alias("text"))
+            rows = cut(rows, "crowded")
+            texts = rows.select("key", "text")
         size = ready.agg(F.sum(F.octet_length("words"))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * shard_words) + 1)
         found = cut(search(ready.select(F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard"), "piece", "low", "words"), window), "found")
-        decided = distinct.join(crowds, "least", "left_anti").select("piece", "low").join(found.select("piece", "spans"), "piece")
-        if windows is not None:
-            before = windows.join(found.select(F.col("piece").alias("name"), "least_id"), "name").filter("least_id < low OR (low IS NULL AND least_id IS NOT NULL)")
-            own = before.groupBy("piece").agg(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
-            crowded = distinct.join(crowds, "least").select("piece", "low").join(own, "piece", "left")
-            decided = decided.unionByName(crowded.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))))
-        decided = cut(decided, "decided")
-        # a document after the piece's first one repeats it whole, the first one repeats what others before it have
-        whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
-        later = (F.col("id") > F.col("low")) | (F.col("id").isNull() & F.col("low").isNotNull())
-        spans = some.join(decided, "piece").select("key", "start", F.explode(F.when(later, whole).otherwise(F.col("spans"))).alias("s"))
-        span = F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") + window - 1).alias("b"))
-        return keep(spans.select("key", span.alias("s")).groupBy("key").agg(F.collect_set("s").alias("spans")), "spans")
+        decided = None
+        for level in reversed(levels):
+            searched = level.distinct if level.crowds is None else level.distinct.join(level.crowds, "least", "left_anti")
+            now = searched.select("piece", "low").join(found, "piece")
+            if level.crowds is not None:
+                inner = spans_of(below.some, decided).groupBy(F.col("key").alias("piece")).agg(F.collect_set("s").alias("spans"))
+                crowded = level.distinct.join(level.crowds, "least", "left_semi").select("piece", "low").join(inner, "piece", "left")
+                now = now.unionByName(crowded.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))))
+            decided, below = cut(now, "decided"), level
+        spans = spans_of(levels[0].some, decided).select("key", F.struct(F.col("s.a"), (F.col("s.b") + window - 1).alias("b")).alias("s"))
+        return keep(spans.groupBy("key").agg(F.collect_set("s").alias("spans")), "spans")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:

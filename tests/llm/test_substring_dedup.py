@@ -51,7 +51,7 @@ def test_small_windows_against_all_windows(spark, vocabulary, crowd):
     rows = list(enumerate(texts)) + [(None, texts[3]), (None, texts[5]), (7, texts[7]), (7, texts[9]), (-4, texts[11]), (None, "only here " * 9), (None, "only here " * 9)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS key", "1 AS low", "2 AS piece", "'x' AS spans", "'y' AS least")
-    assert found(df, window=6, gram=2, crowd=crowd, shard_words=50) == by_hand(rows, 6)
+    assert found(df, window=6, grams=(2, 3), crowd=crowd, shard_words=50) == by_hand(rows, 6)
 
 
 @pytest.mark.parametrize("crowd", [2, substring_dedup.CROWD])
@@ -84,6 +84,14 @@ def test_pieces_hold_each_window_once():
             assert same.setdefault(tuple(texts[t].split()[at : at + 6]), h) == h
 
 
+def test_hashes_of_runs_depend_on_their_words_only():
+    hashes = np.random.default_rng(1).integers(0, 2**63, 40).astype(np.uint64)
+    twice = np.concatenate([hashes, hashes])
+    for gram in (1, 2, 3, 7, 8, 32, 37):
+        out = substring_dedup.run_hashes(twice, gram)
+        assert len(out) == 81 - gram and (out[: 41 - gram] == out[40 : 81 - gram]).all() and len(set(out[:40].tolist())) == 40
+
+
 def longest_match(text, query, depth):
     held, at = {tuple(text[i : i + n]) for n in range(1, depth + 1) for i in range(len(text) - n + 1)}, 0
     while at < min(depth, len(query)) and tuple(query[: at + 1]) in held:
