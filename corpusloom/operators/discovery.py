@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
+from corpusloom.operators.titles import likest_titles
 from corpusloom.operators.vectors import blocks_of
 from corpusloom.storage import cut
 
@@ -225,12 +226,17 @@ def title_key(title: Column) -> Column:
     return T.or_null(F.regexp_replace(F.lower(title), "[^a-z0-9]+", ""))
 
 
-def find_works(papers: DataFrame, works: DataFrame) -> DataFrame:
-    """DSC-2: a paper's work by DOI, else by title; of several the smallest id."""
+def find_works(papers: DataFrame, works: DataFrame, least: float = 0.6) -> DataFrame:
+    """DSC-2: a paper's work by DOI, else by title, else the work whose title's words are likest (``least`` or more); of several the smallest id."""
     by_doi = papers.filter("doi is not null").select("paper_id", F.lower("doi").alias("k")).join(works.select("external_id", F.lower("doi").alias("k")), "k").select("paper_id", "external_id", F.lit(0).alias("how"))
     by_title = papers.select("paper_id", title_key(F.col("title")).alias("k")).join(works.select("external_id", title_key(F.col("title")).alias("k")), "k").select("paper_id", "external_id", F.lit(1).alias("how"))
     best = F.min(F.struct("how", F.length("external_id").alias("n"), "external_id"))
-    return by_doi.unionByName(by_title).groupBy("paper_id").agg(best.alias("b")).select("paper_id", "b.external_id", F.when(F.col("b.how") == 0, "doi").otherwise("title").alias("matched_by"))
+    found = by_doi.unionByName(by_title).groupBy("paper_id").agg(best.alias("b")).select("paper_id", "b.external_id", F.when(F.col("b.how") == 0, "doi").otherwise("title").alias("matched_by"))
+    found = cut(found, "found")
+    rest = cut(papers.select("paper_id", "title").filter(title_key(F.col("title")).isNotNull()).join(found, "paper_id", "left_anti"), "rest")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(likest_titles(rest, works, least).select("paper_id", "external_id", F.lit("words").alias("matched_by")))
 
 
 def related_works(papers: DataFrame, works: DataFrame, limit: int = 15) -> DataFrame:
@@ -243,16 +249,6 @@ def related_works(papers: DataFrame, works: DataFrame, limit: int = 15) -> DataF
     return rows.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def search_works(queries: DataFrame, works: DataFrame, limit: int = 15) -> DataFrame:
-    """DSC-3: works that share most words of four letters or more with a query's title."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), F.lit(1)))
-    q = queries.select("query_id", F.explode(words("query")).alias("w"))
-    w = works.select("external_id", F.explode(words("title")).alias("w"))
-    hits = q.join(w, "w").groupBy("query_id", "external_id").agg(F.count("*").alias("n_words"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("n_words").desc(), "external_id"))
-    return hits.withColumn("place", place).filter(F.col("place") <= limit)
-
-
 def new_works(candidates: DataFrame, papers: DataFrame, order: list[Column]) -> DataFrame:
     """DSC-4: candidates that the corpus lacks by DOI and title; of equal titles the first by ``order``."""
     keyed = candidates.withColumn("_d", F.lower("doi")).withColumn("_t", title_key(F.col("title")))

@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
 from corpusloom.operators import discovery as X
 from corpusloom.operators import graph as G
+from corpusloom.operators import titles as TT
 from corpusloom.operators import vectors as V
 from corpusloom.plans.views import table, view, with_views
 from corpusloom.storage import cut
@@ -338,6 +339,21 @@ def find_works(spark: SparkSession, sf: str) -> DataFrame:
     return X.find_works(view(spark, sf, "papers_v"), view(spark, sf, "works_v"))
 
 
+@query(with_views(WORKS, r""", ask AS (SELECT paper_id, CASE WHEN CAST(paper_id[2:] AS BIGINT) % 2 = 0 THEN 'Revised ' || regexp_replace(title, '^[^ ]+', '') ELSE title || ' and a tail of five words' END AS title FROM papers_v WHERE doi IS NULL),
+keyed AS (SELECT paper_id, title, nullif(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), '') AS k FROM ask), wk AS (SELECT external_id, title, nullif(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), '') AS k FROM works_v),
+eq AS (SELECT paper_id, arg_min(external_id, CAST(external_id[2:] AS BIGINT)) AS external_id FROM keyed JOIN wk USING (k) GROUP BY 1),
+ps AS (SELECT paper_id, list_sort(list_distinct(regexp_extract_all(lower(substr(title, 1, 250)), '[a-z0-9]+'))) AS s FROM keyed WHERE k IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM eq)),
+ws AS (SELECT min(CAST(external_id[2:] AS BIGINT)) AS n, s FROM (SELECT external_id, list_sort(list_distinct(regexp_extract_all(lower(substr(title, 1, 250)), '[a-z0-9]+'))) AS s FROM works_v) GROUP BY s),
+c AS (SELECT paper_id, n, len(list_intersect(ps.s, ws.s)) AS i, len(ps.s) + len(ws.s) AS t FROM ps JOIN ws ON len(ws.s) >= 0.6 * len(ps.s) AND len(ps.s) >= 0.6 * len(ws.s)),
+b AS (SELECT paper_id, arg_min(n, (-(i / (t - i)), n)) AS n FROM c WHERE i / (t - i) >= 0.6 - 1e-9 GROUP BY 1)
+SELECT paper_id, external_id, 'title' AS matched_by FROM eq UNION ALL SELECT paper_id, 'W' || n, 'words' FROM b"""))
+def find_works_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC-2: papers without a DOI under edited titles"""
+    number = F.substring("paper_id", 2, 20).cast("long")
+    title = F.when(number % 2 == 0, F.concat(F.lit("Revised "), F.regexp_replace("title", "^[^ ]+", ""))).otherwise(F.concat("title", F.lit(" and a tail of five words")))
+    return X.find_works(view(spark, sf, "papers_v").filter("doi IS NULL").withColumn("title", title), view(spark, sf, "works_v"))
+
+
 @query(with_views(WORKS, FOUND + " SELECT * FROM rr WHERE place <= 15"))
 def related_works(spark: SparkSession, sf: str) -> DataFrame:
     """DSC-1"""
@@ -350,7 +366,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 def search_works(spark: SparkSession, sf: str) -> DataFrame:
     """DSC-3"""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return X.search_works(asked, view(spark, sf, "works_v"))
+    return TT.search_works(asked, view(spark, sf, "works_v"))
 
 
 NEW = """SELECT external_id, title, doi, citations FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), ''), chr(1) || external_id) ORDER BY citations DESC, external_id) AS r FROM works_v
