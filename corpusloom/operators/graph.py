@@ -93,19 +93,20 @@ def remove_papers(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return n, endpoints(without(edges, ["source", "target", "type"]), n)
 
 
+def merge_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Papers are united, the new value of another attribute wins."""
+    rest = [c for c in old.columns if c not in key and c != "papers"]
+    b = new.select(*key, F.col("papers").alias("_papers"), *(F.col(c).alias(f"_{c}") for c in rest))
+    none = F.array().cast("array<string>")
+    both = old.join(b, key, "full_outer")
+    united = F.array_sort(F.array_union(F.coalesce("papers", none), F.coalesce("_papers", none)))
+    return both.select(*key, *(F.coalesce(f"_{c}", c).alias(c) for c in rest), united.alias("papers")).select(old.columns)
+
+
 def upsert(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """GRF-8: papers are united, the new value of another attribute wins, edges without an end are dropped."""
-
-    def merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-        rest = [c for c in old.columns if c not in key and c != "papers"]
-        b = new.select(*key, F.col("papers").alias("_papers"), *(F.col(c).alias(f"_{c}") for c in rest))
-        none = F.array().cast("array<string>")
-        both = old.join(b, key, "full_outer")
-        united = F.array_sort(F.array_union(F.coalesce("papers", none), F.coalesce("_papers", none)))
-        return both.select(*key, *(F.coalesce(f"_{c}", c).alias(c) for c in rest), united.alias("papers")).select(old.columns)
-
-    n = merged(nodes, new_nodes, ["id"])
-    return n, endpoints(merged(edges, new_edges, ["source", "target", "type"]), n)
+    """GRF-8: nodes and edges merged by ``merge_rows``; edges without an end are dropped."""
+    n = merge_rows(nodes, new_nodes, ["id"])
+    return n, endpoints(merge_rows(edges, new_edges, ["source", "target", "type"]), n)
 
 
 def scoped(nodes: DataFrame, edges: DataFrame, papers: DataFrame, limit: int = 2000) -> tuple[DataFrame, DataFrame]:

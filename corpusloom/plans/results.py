@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from corpusloom.operators import chunks as C
 from corpusloom.operators import listings as L
 from corpusloom.operators import results as R
 from corpusloom.plans.views import table, view, with_views
@@ -567,30 +568,66 @@ def source_folder(df: DataFrame, files: int = 4) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query()
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """STR-1: the same chunks as the batch query chunk_recursive."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    J.ingest(J.stream_of(spark, source_folder(docs), docs.schema), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out/chunks").drop("batch")
+    root = new_folder(spark, "ingest")
+    J.ingest(J.stream_of(spark, source_folder(docs), docs.schema), root, f"{root}-checkpoint", make=small_vectors).awaitTermination()
+    return J.ingest_tables(spark, root)["chunks"].read()
+
+
+def small_vectors():
+    """Vectors of 64 numbers."""
+    return C.hash_embedder(64)
+
+
+def fixed_windows(text: str) -> list[tuple[int, str]]:
+    """CHK-2 for one text; a text whose length is divisible by 7 is taken as one that fails."""
+    if len(text) % 7 == 0:
+        raise ValueError(f"cannot split {len(text)} characters")
+    return [(at, text[at : at + 1200]) for at in range(0, len(text), 1000)]
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, CAST(length(text) AS INT) AS char_count, CASE WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'indexed' END AS status,
+  CASE WHEN length(text) % 7 = 0 THEN 'cannot split ' || length(text) || ' characters' END AS error, CAST(CASE WHEN length(text) % 7 = 0 THEN 0 ELSE len(range(0, length(text), 1000)) END AS INT) AS chunk_count,
+  CAST(CASE WHEN length(text) % 7 = 0 THEN 0 ELSE len(range(0, length(text), 1000)) END AS BIGINT) AS n_vectors, CASE WHEN length(text) % 7 <> 0 THEN list_sum(list_transform(range(0, length(text), 1000), lambda a: length(substr(text, a + 1, 1200)))) END AS chunk_chars FROM documents""")
+def stream_ingest_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-1: metadata, chunks and vectors of a stream in which one text in seven fails, and which comes twice."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    root, folder = new_folder(spark, "ingest"), source_folder(docs, 2)
+    for again in ("first", "second"):  # as if the stream had been read twice
+        J.ingest(J.stream_of(spark, folder, docs.schema), root, f"{root}-{again}", split=fixed_windows, make=small_vectors).awaitTermination()
+    tables = J.ingest_tables(spark, root)
+    vectors = tables["vectors"].read().filter("size(embedding) = 64").groupBy("doc_id").agg(F.count("*").alias("n_vectors"))
+    chars = tables["chunks"].read().groupBy("doc_id").agg(F.sum(F.length("text")).cast("decimal(38,0)").alias("chunk_chars"))
+    papers = tables["papers"].read().select("doc_id", "content_hash", "char_count", "status", "error", "chunk_count")
+    return papers.join(vectors, "doc_id", "left").join(chars, "doc_id", "left").withColumn("n_vectors", F.coalesce("n_vectors", F.lit(0)))
 
 
 def run_once(df: DataFrame, mode: str) -> DataFrame:
     """A bounded run of a stream into Parquet, one folder per micro-batch."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
     df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-@query()
+@query("SELECT source, sha256(text) AS content_hash, count(*) OVER (PARTITION BY source) AS n_of_source FROM (SELECT DISTINCT source, text FROM documents)")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-2"""
+    """STR-2: the stream comes twice, the second time to a stream that has forgotten all but the stored hashes."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
-    kept = J.unique_stream(J.stream_of(spark, source_folder(docs), docs.schema), "source", "text", "ts")
-    return run_once(kept.select("source", "content_hash", "doc_id"), "append").drop("batch")
+    root = new_folder(spark, "unique")
+    for part, days in (("first", 0), ("second", 30)):
+        rows = docs.withColumn("ts", F.col("ts") + F.make_interval(days=F.lit(days)))
+        J.keep_unique(J.stream_of(spark, source_folder(rows), rows.schema), f"{root}/hashes", f"{root}/out/{part}", f"{root}/{part}", "source", "text", "ts").awaitTermination()
+    every = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out").select("source", "content_hash")
+    return every.withColumn("n_of_source", F.count("*").over(W.partitionBy("source")))
 
 
 @query(with_views(["job_items_v"], "SELECT job_id, count(*) AS items, count(*) FILTER (state = 'failed') AS failed FROM job_items_v GROUP BY job_id"))
@@ -602,11 +639,34 @@ def stream_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return last.groupBy("job_id").agg(F.count("*").alias("items"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
-@query()
+@query(with_views(["job_items_v"], """, c AS (SELECT job_id, CAST(count(*) AS INT) AS total, CAST(count(*) FILTER (state IN ('indexed', 'duplicate')) AS INT) AS completed, CAST(count(*) FILTER (state = 'failed') AS INT) AS failed FROM job_items_v GROUP BY 1)
+SELECT *, round((completed + failed) / total, 3) AS progress, completed + failed = total AS terminal FROM c"""))
 def stream_job_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-3: only jobs whose roll-up changed."""
+    """STR-3: only jobs whose roll-up changed; the last change of each is the batch roll-up."""
     rows = view(spark, sf, "job_items_v")
-    return run_once(J.job_changes(J.stream_of(spark, source_folder(rows), rows.schema)), "update")
+    changes = run_once(J.job_changes(J.stream_of(spark, source_folder(rows), rows.schema), delay="10000 days", keep_ms=1 << 50), "update")
+    return changes.groupBy("job_id").agg(F.max_by(F.struct("total", "completed", "failed", "progress", "terminal"), "batch").alias("x")).select("job_id", "x.*")
+
+
+def line_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and parts of order lines, and the uses of one by the other."""
+    ends = lines.select(F.explode(F.array(F.struct(F.concat(F.lit("s:"), "l_suppkey").alias("id"), F.lit("Method").alias("type")), F.struct(F.concat(F.lit("p:"), "l_partkey").alias("id"), F.lit("Dataset").alias("type")))).alias("e"), F.concat(F.lit("o"), "l_orderkey").alias("paper"))
+    nodes = ends.groupBy("e.id", "e.type").agg(F.array_sort(F.collect_set("paper")).alias("papers"))
+    edges = lines.select(F.concat(F.lit("s:"), "l_suppkey").alias("source"), F.concat(F.lit("p:"), "l_partkey").alias("target"), F.when(F.col("l_linenumber") % 2 == 0, "USES").otherwise("APPLIED_TO").alias("type"), F.concat(F.lit("o"), "l_orderkey").alias("paper"))
+    return nodes, edges.groupBy("source", "target", "type").agg(F.array_sort(F.collect_set("paper")).alias("papers"))
+
+
+@query("""WITH e AS (SELECT 's:' || l_suppkey AS s, 'p:' || l_partkey AS p, CASE WHEN l_linenumber % 2 = 0 THEN 'USES' ELSE 'APPLIED_TO' END AS t, 'o' || l_orderkey AS o FROM lineitem)
+SELECT 'node' AS part, s AS id, 'Method' AS type, count(DISTINCT o) AS n_papers, md5(string_agg(DISTINCT o, ',' ORDER BY o)) AS papers FROM e GROUP BY s UNION ALL SELECT 'node', p, 'Dataset', count(DISTINCT o), md5(string_agg(DISTINCT o, ',' ORDER BY o)) FROM e GROUP BY p
+UNION ALL SELECT 'edge', s || '|' || p, t, count(DISTINCT o), md5(string_agg(DISTINCT o, ',' ORDER BY o)) FROM e GROUP BY s, p, t""")
+def stream_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-4: the graph of all micro-batches is that of one fold."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    root = new_folder(spark, "graph")
+    J.merge_graph(J.stream_of(spark, source_folder(lines), lines.schema), root, f"{root}-checkpoint", line_graph).awaitTermination()
+    nodes, edges = (t.read() for t in J.graph_tables(spark, root, *line_graph(lines)))
+    both = nodes.select(F.lit("node").alias("part"), "id", "type", "papers").unionByName(edges.select(F.lit("edge").alias("part"), F.concat_ws("|", "source", "target").alias("id"), "type", "papers"))
+    return both.select("part", "id", "type", F.size("papers").cast("long").alias("n_papers"), F.md5(F.array_join("papers", ",")).alias("papers"))
 
 
 @query()

@@ -184,38 +184,6 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["run_id"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/runs").collect()) == [("r", "partial"), ("s", "failed"), ("t", "completed"), ("t", "completed")]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from corpusloom.streaming import jobs as J
-
-    rows = spark.createDataFrame([(i, "word " * (i * 40)) for i in range(12)], "doc_id long, text string")
-    rows.repartition(3).write.parquet(f"{tmp_path}/in")
-    J.ingest(J.stream_of(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", f"{tmp_path}/cp", size=300, overlap=50).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/chunks").drop("batch").collect())
-    assert got == sorted(tuple(r) for r in C.recursive_chunks(rows.filter("text <> ''"), "doc_id", "text", 300, 50).collect())
-    assert [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == [0]
-
-
-def test_graph_stream_merges(spark, tmp_path):
-    from corpusloom.sources.tables import read_graph
-    from corpusloom.streaming import jobs as J
-
-    schema = "source string, target string, paper string"
-    for i, row in enumerate([("a", "b", "p1"), ("b", "c", "p2"), ("a", "b", "p2")]):
-        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-
-    def fold(df):
-        nodes = df.select(F.explode(F.array("source", "target")).alias("id"), "paper").groupBy("id").agg(F.array_sort(F.collect_set("paper")).alias("papers"))
-        return nodes, df.groupBy("source", "target", F.lit("USES").alias("type")).agg(F.array_sort(F.collect_set("paper")).alias("papers"))
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = J.merge_graph(stream, f"{tmp_path}/graph", f"{tmp_path}/cp", fold)
-    q.processAllAvailable()
-    q.stop()
-    nodes, edges = read_graph(spark, f"{tmp_path}/graph/batch=2")
-    assert {r["id"]: r["papers"] for r in nodes.collect()} == {"a": ["p1", "p2"], "b": ["p1", "p2"], "c": ["p2"]}
-    assert {(r["source"], r["target"]): r["papers"] for r in edges.collect()} == {("a", "b"): ["p1", "p2"], ("b", "c"): ["p2"]}
-
-
 def test_label_of_a_run(spark):
     label = L.run_label(F.col("q"), F.col("r"), F.lit(2))
     assert one(spark, label, q=" ", r='{"gaps": [{"title": "T"}]}') == "1 gap — T" and one(spark, label, q="", r="{}") == "2 papers"
@@ -228,27 +196,3 @@ def test_no_cartesian_product_where_keys_exist(spark):
     for name in ("doc_sections", "chunk_page", "hash_embed", "rrf_search", "extract_aggregate", "related_works", "owner_scope"):
         plan = ALL_QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
-
-
-def test_a_late_row_does_not_undo_a_newer_state(spark, tmp_path):
-    """The newer row comes in the first file, the older one in the second."""
-    import datetime
-    import os
-    import time
-
-    schema = "job_id string, item_no long, state string, ts timestamp_ntz"
-    day = datetime.datetime(2024, 1, 1)
-    batches = [[("j", 1, "indexed", day + datetime.timedelta(hours=2)), ("j", 2, "running", day)], [("j", 1, "running", day), ("k", 1, "failed", day)], [("j", 2, "indexed", day + datetime.timedelta(hours=1))]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        for name in os.listdir(f"{tmp_path}/in"):
-            if name.startswith("part-") and not os.path.exists(f"{tmp_path}/{name}.seen"):
-                os.utime(f"{tmp_path}/in/{name}", (time.time() - 100 + i, time.time() - 100 + i))
-                open(f"{tmp_path}/{name}.seen", "w").close()
-    from corpusloom.streaming import jobs
-
-    stream = jobs.job_changes(jobs.stream_of(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema))
-    query = stream.writeStream.format("memory").queryName("late_rows").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted((r["job_id"], r["total"], r["completed"], r["failed"], r["terminal"]) for r in spark.table("late_rows").collect())
-    assert got == [("j", 2, 1, 0, False), ("j", 2, 2, 0, True), ("k", 1, 0, 1, True)]
