@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
 from corpusloom.operators.titles import likest_titles
-from corpusloom.operators.vectors import blocks_of
 from corpusloom.storage import cut
 
 # Words that alone name no entity.
@@ -20,68 +19,114 @@ STOP_WORDS = (
 ).split()
 
 
-def entity_graph(nodes: DataFrame, edges: DataFrame, types: list[str] = G.SCIENTIFIC, merge_aliases: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Entities and their adjacency, ready for the operators below: GRF-12, 13, 14 in turn, as written tables."""
-    raw = nodes.filter(F.col("type").isin(types) & (F.col("name") != ""))
+#: Links of an intermediate beyond which its links are dealt over several keys.
+HUB_LINKS = 10_000
+
+
+def entity_table(nodes: DataFrame, types: list[str] = G.SCIENTIFIC, merge_aliases: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Entities, and which one each node is: GRF-12 and 13 as written tables."""
+    raw = cut(nodes.filter(F.col("type").isin(types) & (F.col("name") != "")), "raw")
     alias = G.resolve_entities(raw) if merge_aliases else raw.select("id", F.col("id").alias("canonical"))
     alias = cut(alias, "alias")
-    return cut(G.collapse(raw, alias), "entities"), cut(G.adjacency(G.canonical_edges(edges, alias)), "adjacent")
+    return cut(G.collapse(raw, alias), "entities"), alias
+
+
+def entity_graph(nodes: DataFrame, edges: DataFrame, types: list[str] = G.SCIENTIFIC, merge_aliases: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Entities and their adjacency, ready for the operators below: GRF-12, 13, 14 in turn, as written tables."""
+    entities, alias = entity_table(nodes, types, merge_aliases)
+    return entities, cut(G.adjacency(G.canonical_edges(edges, alias)), "adjacent")
+
+
+def containing(terms: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    """``low``, ``id``, ``name`` of the names (``id``, ``name``, lower case) that contain a term (``low``).
+
+    A term meets names on the rarest of its runs of ``gram`` characters, so it is compared with those names only;
+    a shorter term is a run of its own length.
+    """
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+    out = None
+    for n in range(1, gram + 1):
+        own = cut(terms.filter(F.length("low") >= n if n == gram else F.length("low") == n).select("low", F.explode(runs(F.col("low"), n)).alias("g")), "runs")
+        if n < gram and own.isEmpty():
+            continue
+        held = names.filter(F.length("name") >= n).select("id", "name", F.explode(runs(F.col("name"), n)).alias("g"))
+        held = cut(held.join(own.select("g").distinct(), "g", "left_semi"), "held")
+        counts = held.groupBy("g").agg(F.count("*").alias("n"))
+        # a run that no name has rules its term out
+        rarest = own.join(counts, "g", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0").select("low", "r.g")
+        met = rarest.join(held, "g").filter(F.contains("name", "low")).select("low", "id", "name")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def resolve_terms(terms: DataFrame, entities: DataFrame) -> DataFrame:
     """GRF-16: ``term`` → ``id``: the id itself, else the exact name, else the shortest name that contains the term."""
-    low = F.lower(F.btrim("term"))
-    name = F.lower(F.btrim("name"))
-    t = terms.select("term", low.alias("low")).filter("low <> ''")
-    by_id = t.join(entities.select("id"), F.col("low") == F.col("id")).select("term", "id", F.lit(0).alias("how"), F.lit(0).alias("n"))
-    by_name = t.join(entities.select("id", name.alias("name")), F.col("low") == F.col("name")).select("term", "id", F.lit(1).alias("how"), F.lit(0).alias("n"))
-    every = by_id.unionByName(by_name)
-    for block in blocks_of(t.distinct(), "term"):  # the terms are a stated set, compared with all names
-        inside = entities.select("id", "name").join(F.broadcast(block), F.contains(F.lower("name"), F.col("low")))
-        every = every.unionByName(inside.select("term", "id", F.lit(2).alias("how"), F.length("name").alias("n")))
-    return every.groupBy("term").agg(F.min_by("id", F.struct("how", "n", "id")).alias("id"))
-
-
-def _abc(sources: DataFrame, entities: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """One row per (A-B link, B-C link) with what rejects it."""
-    own = entities.select("id", "papers")
-    a_b = sources.select(F.col("id").alias("a")).distinct().join(adjacent.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("type").alias("a_to_b"), F.col("papers").alias("a_papers")), "a")
-    b_c = adjacent.select(F.col("id").alias("b"), F.col("other").alias("c"), F.col("type").alias("b_to_c"), F.col("papers").alias("c_papers"))
-    rows = a_b.join(b_c, "b").filter("c <> a AND c <> b")
-    stated = adjacent.select(F.col("id").alias("a"), F.col("other").alias("c")).distinct().withColumn("linked", F.lit(True))
-    rows = rows.join(stated, ["a", "c"], "left")
-    pairs = rows.select("a", "c").distinct().join(own.select(F.col("id").alias("a"), F.col("papers").alias("pa")), "a").join(own.select(F.col("id").alias("c"), F.col("papers").alias("pc")), "c")
-    pairs = pairs.select("a", "c", F.arrays_overlap("pa", "pc").alias("shares"), F.size("pa").alias("a_count"), F.size("pc").alias("c_count"))
-    return rows.join(pairs, ["a", "c"]).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    t = cut(terms.select("term", F.lower(F.btrim("term")).alias("low")).filter("low <> ''").distinct(), "terms")
+    names = entities.select("id", F.lower("name").alias("name"))
+    by_id = t.join(entities.select("id"), F.col("low") == F.col("id")).select("term", "id", F.lit(0).alias("how"))
+    by_name = t.join(names.select("id", F.btrim("name").alias("low")), "low").select("term", "id", F.lit(1).alias("how"))
+    exact = cut(by_id.unionByName(by_name).groupBy("term").agg(F.min_by("id", F.struct("how", "id")).alias("id")), "exact")
+    rest = cut(t.join(exact, "term", "left_anti"), "rest")
+    if rest.isEmpty():
+        return exact
+    inside = containing(rest.select("low").distinct(), names).groupBy("low").agg(F.min_by("id", F.struct(F.length("name"), "id")).alias("id"))
+    return exact.unionByName(rest.join(inside, "low").select("term", "id"))
+
+
+def implied(sources: DataFrame, entities: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """``a``, ``c``, ``n_links``, ``score``, ``support``, ``linked``, ``shares``: what each source reaches over one intermediate.
+
+    ``n_links`` counts pairs of relations, ``support`` distinct intermediates, ``score`` sums their hub weights.
+    Only ids and numbers are joined, and they are summed before anything else is looked up. The links of
+    an intermediate with more than ``HUB_LINKS`` are dealt over several keys, and the sources repeated for each.
+    """
+    a = sources.select(F.col("id").alias("a")).distinct()
+    links = cut(adjacent.groupBy("id", "other").agg(F.count("*").alias("n")), "links")
+    hubs = links.groupBy(F.col("id").alias("b")).agg(F.sum("n").alias("degree"), F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("deals"))
+    hubs = cut(hubs.withColumn("w", 1 / F.log2(F.col("degree") + 2)), "hubs")
+    a_b = a.join(links.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("n").alias("n_a")), "a").join(hubs.select("b", "w", "deals"), "b")
+    a_b = a_b.select("a", "b", "n_a", "w", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    b_c = links.select(F.col("id").alias("b"), F.col("other").alias("c"), F.col("n").alias("n_c")).join(hubs.select("b", "deals"), "b")
+    b_c = b_c.select("b", "c", "n_c", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int").alias("deal"))
+    met = a_b.join(b_c, ["b", "deal"]).filter("c <> a AND c <> b").groupBy("a", "c").agg(F.sum(F.col("n_a") * F.col("n_c")).alias("n_links"), F.sum("w").alias("score"), F.count("*").alias("support"))
+    stated = links.join(a, F.col("id") == F.col("a")).select("a", F.col("other").alias("c"), F.lit(True).alias("linked"))
+    papers = entities.select("id", F.explode("papers").alias("paper"))
+    wrote = cut(papers.join(a, F.col("id") == F.col("a")).select("a", "paper"), "wrote")
+    shares = wrote.join(papers, "paper").select("a", F.col("id").alias("c"), F.lit(True).alias("shares")).distinct()
+    out = met.join(stated, ["a", "c"], "left").join(shares, ["a", "c"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("linked", "shares")})
 
 
 def open_discovery(sources: DataFrame, entities: DataFrame, adjacent: DataFrame, limit: int = 25, min_support: int = 1, disjoint: bool = True) -> DataFrame:
     """GRF-17: for each source entity the entities it is connected to only through others.
 
-    The score is the sum over distinct intermediates of their hub weights, the support their number.
-    Chains come by weight, then intermediate and relations.
+    The score is the sum over distinct intermediates of their hub weights, the support their number. Chains,
+    which are looked up for the best ``limit`` only, come by weight, then intermediate and relations.
     """
-    rows = _abc(sources, entities, adjacent).filter("NOT linked")
-    if disjoint:
-        rows = rows.filter("NOT shares")
-    weights = G.degrees(adjacent).select(F.col("id").alias("b"), F.col("hub_weight").alias("w"))
-    names = entities.select("id", "name", "type")
-    rows = rows.join(weights, "b").join(names.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
-    per_b = rows.groupBy("a", "c", "a_count", "c_count", "b", "b_name", "w").agg(F.collect_list(F.struct("a_to_b", "b_to_c", F.array_sort("a_papers").alias("a_papers"), F.array_sort("c_papers").alias("c_papers"))).alias("links"))
-    chain = F.struct((-F.col("w")).alias("order"), "b", "b_name", "w", F.array_sort("links").alias("links"))
-    found = per_b.groupBy("a", "c", "a_count", "c_count").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("support"), F.array_sort(F.collect_list(chain)).alias("chains")).filter(F.col("support") >= min_support)
-    found = found.join(names.select(F.col("id").alias("a"), F.col("name").alias("a_name")), "a").join(names.select(F.col("id").alias("c"), F.col("name").alias("c_name"), F.col("type").alias("c_type")), "c")
+    found = implied(sources, entities, adjacent).filter("NOT linked").filter(F.lit(not disjoint) | ~F.col("shares")).filter(F.col("support") >= min_support)
+    own = entities.select("id", "name", "type", F.size("papers").alias("n"))
+    found = found.select("a", "c", F.round("score", 6).alias("score"), "support").join(own.select(F.col("id").alias("c"), F.col("name").alias("c_name"), F.col("type").alias("c_type"), F.col("n").alias("c_count")), "c")
     place = F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), F.col("support").desc(), "c_name", "c"))
-    return found.withColumn("place", place).filter(F.col("place") <= limit)
+    best = cut(found.withColumn("place", place).filter(F.col("place") <= limit).join(own.select(F.col("id").alias("a"), F.col("name").alias("a_name"), F.col("n").alias("a_count")), "a"), "best")
+    sorted_ = F.array_sort("papers")
+    a_b = best.select("a", "c").join(adjacent.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("type").alias("a_to_b"), sorted_.alias("a_papers")), "a")
+    b_c = adjacent.join(best.select(F.col("c").alias("other")).distinct(), "other", "left_semi").select(F.col("id").alias("b"), F.col("other").alias("c"), F.col("type").alias("b_to_c"), sorted_.alias("c_papers"))
+    rows = a_b.join(b_c, ["b", "c"]).filter("b <> a AND b <> c")
+    per_b = rows.groupBy("a", "c", "b").agg(F.array_sort(F.collect_list(F.struct("a_to_b", "b_to_c", "a_papers", "c_papers"))).alias("links"))
+    weights = G.degrees(adjacent).select(F.col("id").alias("b"), F.col("hub_weight").alias("w"))
+    per_b = per_b.join(weights, "b").join(own.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
+    chains = per_b.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("order"), "b", "b_name", "w", "links"))).alias("chains"))
+    return best.join(chains, ["a", "c"])
 
 
 def open_diagnostics(sources: DataFrame, entities: DataFrame, adjacent: DataFrame, disjoint: bool = True) -> DataFrame:
     """GRF-18: how many chains were examined and why they were rejected, and a reason where nothing was found."""
-    rows = _abc(sources, entities, adjacent)
+    rows = implied(sources, entities, adjacent)
     good = F.lit(True) if not disjoint else ~F.col("shares")
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n_links"))), F.lit(0))
     counts = rows.groupBy("a").agg(
-        F.count("*").alias("c_examined"), F.count_if("linked").alias("rejected_already_linked"), F.count_if(~F.col("linked") & ~good).alias("rejected_shared_paper"),
-        F.count_distinct(F.when(~F.col("linked") & good, F.col("c"))).alias("candidates_found"),
+        F.sum("n_links").alias("c_examined"), total(F.col("linked")).alias("rejected_already_linked"), total(~F.col("linked") & ~good).alias("rejected_shared_paper"),
+        F.count_if(~F.col("linked") & good).alias("candidates_found"),
     )
     b_terms = adjacent.groupBy(F.col("id").alias("a")).agg(F.count("*").alias("b_terms"))
     n = entities.agg(F.count("*").alias("entities"))

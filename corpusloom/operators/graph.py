@@ -156,20 +156,29 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: i
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for each end of ``edges`` (a, b).
 
-    Each node takes the smallest label around it, then the label of that label, so distances to the
-    root halve. Rounds are written tables; only a count of changes comes to the driver.
+    By contraction: each node hooks on to its neighbour with the smallest hash, if that is below its own, and
+    on to what that one hooks on to; links between what is left, without loops and repeats, are the next
+    round's. So the tables shrink by a factor each round, whatever the shape, and are all that is written.
     """
-    both = cut(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
-    while True:
-        around = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        low = labels.join(around, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        jump = cut(low, "low")
-        ahead = jump.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        new = cut(jump.join(ahead, "l", "left").select("a", F.least("l", "ll").alias("l"), "old"), "labels")
-        labels = new.select("a", "l")
-        if new.filter("l <> old").isEmpty():
-            return labels.select(F.col("a").alias("node"), F.col("l").alias("root"))
+    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, steps = cut(links, "links"), []
+    while not links.isEmpty():
+        rank = lambda c: F.xxhash64(c, F.lit(len(steps)))  # noqa: B023, E731
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), "b")).alias("m"))
+        hook = cut(least.select("a", F.when(F.col("m.h") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("p")), "hooks")
+        step = cut(hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("to")), "p").select("a", "to"), "step")
+        steps.append(step)
+        moved = links.join(step.select("a", F.col("to").alias("u")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("v")), "b")
+        links = cut(moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+    if not steps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = steps.pop()
+    while steps:
+        found = steps.pop().join(found.select(F.col("a").alias("to"), F.col("to").alias("last")), "to", "left").select("a", F.coalesce("last", "to").alias("to"))
+    found = cut(found, "found")
+    smallest = cut(found.groupBy("to").agg(F.min("a").alias("root")), "roots")
+    return found.join(smallest, "to").select(F.col("a").alias("node"), "root")
 
 
 def surface_forms(nodes: DataFrame, least: int = 2) -> DataFrame:
@@ -179,9 +188,9 @@ def surface_forms(nodes: DataFrame, least: int = 2) -> DataFrame:
 
 def resolve_entities(nodes: DataFrame) -> DataFrame:
     """GRF-12: ``id`` and ``canonical``: nodes that share a surface form are one entity, named by the node with most papers, then by id."""
-    forms = surface_forms(nodes)
+    forms = cut(surface_forms(nodes), "forms")
     first = forms.groupBy("form").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    linked = components(forms.join(first, "form").select(F.col("id").alias("a"), "b").filter("a <> b"))
+    linked = cut(components(forms.join(first, "form").select(F.col("id").alias("a"), "b").filter("a <> b")), "linked")
     sized = linked.join(nodes.select(F.col("id").alias("node"), F.coalesce(F.size("papers"), F.lit(0)).alias("n")), "node")
     best = sized.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "node"))["node"].alias("canonical"))
     alias = cut(linked.join(best, "root").select(F.col("node").alias("id"), "canonical"), "alias")

@@ -154,7 +154,7 @@ def entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query(with_views(KG, ENT + " SELECT * FROM en"))
 def kg_entities(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-12, GRF-13"""
-    return entities(spark, sf)[0]
+    return X.entity_table(view(spark, sf, "kg_nodes_v"))[0]
 
 
 @query(with_views(KG, ADJ + " SELECT source, target, type, papers FROM ce"))
@@ -185,7 +185,7 @@ x AS (SELECT term, id, 0 AS how, 0 AS n FROM m JOIN en ON low = id UNION ALL SEL
 SELECT term, arg_min(id, how * 1000000 + n) AS id FROM (SELECT * FROM x ORDER BY term, how, n, id) GROUP BY term"""))
 def lbd_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-16"""
-    return X.resolve_terms(spark.sql(TERM, part=table(spark, sf, "part")), entities(spark, sf)[0])
+    return X.resolve_terms(spark.sql(TERM, part=table(spark, sf, "part")), X.entity_table(view(spark, sf, "kg_nodes_v"))[0])
 
 
 SOURCES = ADJ + """, a0 AS (SELECT 'p:' || p_partkey AS a FROM part WHERE p_partkey % 100 = 0), abc AS (SELECT a, x.other AS b, y.other AS c, x.type AS ab, y.type AS bc FROM a0 JOIN adj x ON x.id = a JOIN adj y ON y.id = x.other WHERE y.other <> a AND y.other <> x.other),

@@ -196,3 +196,35 @@ def test_no_cartesian_product_where_keys_exist(spark):
     for name in ("doc_sections", "chunk_page", "hash_embed", "rrf_search", "extract_aggregate", "related_works", "owner_scope"):
         plan = ALL_QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_terms_meet_names_on_their_rarest_runs(spark):
+    """Against comparing each term with each name; no nested loop in the plan."""
+    rng = random.Random(3)
+    names = [(f"e{i}", "".join(rng.choice("abc é-") for _ in range(rng.randint(1, 12)))) for i in range(300)] + [("e9", "same name"), ("e1", "same name"), ("aa", "other"), ("x", "ABC Def")]
+    names = list({i: (i, n) for i, n in names}.values())
+    terms = ["a", "b-", "abc", " AB ", "cab", "é", "zzz", "", " ", None, "same name", "name", "aa", "c é", "bc def", "a" * 20] + [n[2:6] for _, n in names[:60]]
+    low = lambda t: t.strip(" ").lower()
+    expected = {}
+    for t in {t for t in terms if t and low(t)}:
+        ways = [(0, 0, i) for i, _ in names if i == low(t)] or [(1, 0, i) for i, n in names if low(n) == low(t)] or [(2, len(n), i) for i, n in names if low(t) in n.lower()]
+        if ways:
+            expected[t] = min(ways)[2]
+    found = X.resolve_terms(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(names, "id string, name string"))
+    assert {r["term"]: r["id"] for r in found.collect()} == expected
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hubs_are_dealt_over_keys(spark, monkeypatch):
+    """Open discovery over a hub with many links gives the same rows however its links are dealt."""
+    rng = random.Random(8)
+    links = {(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}", rng.choice(["USES", "PART"]), f"p{rng.randint(0, 60)}") for _ in range(60)} | {("hub", f"n{i}", "USES", f"q{i}") for i in range(31)}
+    edges = spark.createDataFrame([(a, b, t, [p]) for a, b, t, p in links if a != b], "source string, target string, type string, papers array<string>")
+    adjacent = G.adjacency(edges)
+    entities = adjacent.select("id", F.explode("papers").alias("p")).groupBy("id").agg(F.collect_set("p").alias("papers")).select("id", F.concat(F.lit("name "), "id").alias("name"), F.lit("Method").alias("type"), "papers")
+    start = spark.createDataFrame([("n1",), ("n2",), ("hub",), ("none",)], "id string")
+    got = []
+    for most in (10_000, 3):
+        monkeypatch.setattr(X, "HUB_LINKS", most)
+        got.append((sorted(map(str, X.open_discovery(start, entities, adjacent).collect())), sorted(map(str, X.open_diagnostics(start, entities, adjacent).collect()))))
+    assert got[0] == got[1] and len(got[0][0]) > 20
