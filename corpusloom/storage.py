@@ -56,6 +56,12 @@ def table_set(spark: SparkSession, name: str) -> Iterator[None]:
         _here.folder = outer
 
 
+def drop_set(spark: SparkSession, name: str) -> None:
+    """Delete what the set ``name`` of this thread holds."""
+    if (folder := _here.__dict__.get("sets", {}).pop(name, None)) is not None:
+        delete(spark, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """What ``cut`` writes inside is deleted at the end; what outlives it goes through the function given, a ``cut`` to the folder outside."""
