@@ -12,12 +12,14 @@ before wrote for itself.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from corpusloom.llm.wordfeatures import fold
-from corpusloom.storage import cut, table_set
+from corpusloom.storage import cut, drop_set, table_set
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces, as a written table of this run: a later run leaves it alone."""
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), uuid.uuid4().hex
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        with table_set(spark, f"output-{k % 2}"):  # what the stage before the last one returned goes
+        with table_set(spark, f"output-{k}-{own}"):
             docs = cut(out, name.replace(" ", "-"))
+        drop_set(spark, f"output-{k - 1}-{own}")
+    drop_set(spark, "stage")
     return docs
