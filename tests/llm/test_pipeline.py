@@ -52,3 +52,51 @@ def test_each_stage_does_its_work(spark, folder):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == times
     assert max(Counter(r["sequence_id"] for r in packed).values()) >= 1
     assert all(sum(r["length"] for r in packed if r["sequence_id"] == s) <= 2048 for s in list({r["sequence_id"] for r in packed})[:50])
+
+
+def test_a_second_run_leaves_the_first_result_alone(spark, folder):
+    first = pipeline.run(spark, folder)
+    rows = sorted(first.collect())
+    second = pipeline.run(spark, folder)
+    assert sorted(first.collect()) == rows == sorted(second.collect()) and len(rows) > 100
+
+
+def odd_folder(spark, folder, path):
+    """Null and repeated ids, repeated rows, null texts, and columns with the names that operators use inside."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = docs.filter("doc_id % 5 = 0").limit(40)
+    extra = spark.createDataFrame([(None, "null id text " + words(70, 60)), (None, "null id text " + words(70, 60)), (None, "another " + words(71, 60)), (None, None), (9_000, "same id one " + words(72, 60)), (9_000, "same id two " + words(73, 60)), (9_001, "twice " + words(74, 60)), (9_001, "twice " + words(74, 60)), (9_002, None), (9_003, " \t")], "doc_id long, text string")
+    every = clean.unionByName(extra.selectExpr("doc_id", "text", "'en' AS lang", "cast(null AS string) AS source", "length(text) AS n_chars"))
+    for name in ("_key", "_row", "node", "kept", "score", "copies", "piece", "_times"):
+        every = every.selectExpr("*", f"'clash' AS {name}")
+    every.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    return every
+
+
+def test_odd_rows(spark, folder, tmp_path):
+    every = odd_folder(spark, folder, tmp_path)
+    tables = [every]
+    for _, stage in pipeline.STAGES:
+        tables.append(storage.cut(stage(spark, tables[-1], str(tmp_path))))
+    assert [t.columns for t in tables[:-1]] == [every.columns] * 5
+    texts = lambda t: Counter((r["doc_id"], r["text"]) for r in t.select("doc_id", "text").collect())
+    kept = [texts(t) for t in tables[:5]]
+    assert all(set(b) <= set(a) for a, b in zip(kept, kept[1:]))
+    odd = {k: n for k, n in kept[0].items() if k[0] is None or k[0] >= 9_000}
+    assert {k: kept[1][k] for k in odd} == odd  # none is toxic, each row stays
+    bare = lambda t: "".join((t or "").split())
+    assert {bare(t) for _, t in kept[2]} == {bare(t) for _, t in kept[1]} and set(kept[2].values()) == {1}
+    assert sum(1 for _, t in kept[2] if not bare(t)) == 1
+    assert {bare(t) for i, t in kept[3] if i is None or i >= 9_000} >= {bare(t) for i, t in odd if bare(t)}
+    packed = tables[5].filter("piece = 0").groupBy("doc_id").count().collect()
+    times = Counter()
+    for (i, _), n in kept[4].items():
+        times[i] += n
+    assert {r["doc_id"]: r["count"] for r in packed} == times and max(kept[4].values()) <= 2
+
+
+def test_an_empty_table(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
