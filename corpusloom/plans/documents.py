@@ -218,6 +218,25 @@ h AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, arg_min(sco
 fused AS (SELECT item_id, doc_id, round(rrf, 9) AS rrf, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, first, doc_id) - 1 AS INT) AS place FROM h)"""
 
 
+WS = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+def search_sql(asked: str, passages: str, k: int) -> str:
+    """RET-1 and RET-2 in SQL: ``fused`` (item_id, chunk_id, score, place) for ``asked`` (item_id, text) and ``passages`` (chunk_id, text)."""
+    bare = " ".join(f"WHEN starts_with(low, '{prefix}') THEN low[{len(prefix) + 1}:]" for prefix in V.PREFIXES)
+    return f"""asked AS ({asked}), passages AS ({passages}),
+q0 AS (SELECT item_id, trim(text, {WS}) AS v0, trim(rtrim(lower(trim(text, {WS})), '?'), {WS}) AS low FROM asked),
+k0 AS (SELECT *, list_filter(regexp_split_to_array(low, '\\s+'), lambda x: length(x) > 3)[1:12] AS ws, CASE {bare} END AS v1 FROM q0),
+raw AS (SELECT item_id, unnest([0, 1, 2]) AS i, unnest([v0, v1, CASE WHEN len(ws) >= 3 THEN array_to_string(ws, ' ') END]) AS t FROM k0),
+v AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS variant, t FROM (SELECT item_id, i, trim(t) AS t, row_number() OVER (PARTITION BY item_id, lower(trim(t)) ORDER BY i) AS dup FROM raw WHERE trim(t) <> '') WHERE dup = 1),
+src AS (SELECT 'd' || chunk_id AS id, text AS t FROM passages UNION ALL SELECT 'q' || item_id || '~' || variant, t FROM v), {TERMS},
+e AS (SELECT id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS weight FROM s),
+p AS (SELECT a.id AS qv, b.id[2:] AS chunk_id, round(sum(a.weight * b.weight), 6) AS score FROM e a JOIN e b ON a.bucket = b.bucket AND a.id[1] = 'q' AND b.id[1] = 'd' GROUP BY ALL),
+r AS (SELECT CAST(split_part(qv[2:], '~', 1) AS BIGINT) AS item_id, CAST(split_part(qv, '~', 2) AS INT) AS variant, chunk_id, score, row_number() OVER (PARTITION BY qv ORDER BY score DESC, chunk_id) - 1 AS rank FROM p),
+h AS (SELECT item_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, arg_min(score, variant * 1000 + rank) AS score, min(variant * 1000 + rank) AS first FROM r WHERE rank < {k} GROUP BY ALL),
+fused AS (SELECT * FROM (SELECT item_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, first, chunk_id) - 1 AS INT) AS place FROM h) WHERE place < {k})"""
+
+
 def search(spark: SparkSession, sf: str) -> DataFrame:
     asked = variants(spark, sf).withColumn("query_id", F.struct("item_id", "variant"))
     q = C.hashed_terms(asked, "query_id", "t")
@@ -231,14 +250,17 @@ def rrf_search(spark: SparkSession, sf: str) -> DataFrame:
     return search(spark, sf)
 
 
-@query(f"""WITH {SEARCH}, b AS (SELECT item_id, place, '[S' || (place + 1) || '] d' || doc_id || ' (n/a)' || chr(10) || trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)) AS block FROM fused JOIN documents d USING (doc_id) WHERE place < 8),
+PACKED = f"""WITH {SEARCH}, b AS (SELECT item_id, place, '[S' || (place + 1) || '] d' || doc_id || ' (n/a)' || chr(10) || trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)) AS block FROM fused JOIN documents d USING (doc_id) WHERE place < 8),
 c AS (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY place) AS n FROM b)
-SELECT item_id, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS context, count(*) AS n_blocks FROM c WHERE n <= 12000 GROUP BY item_id""")
+SELECT item_id, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS context, count(*) AS n_blocks FROM c WHERE n <= BUDGET GROUP BY item_id"""
+
+
+@query(PACKED.replace("BUDGET", "12000"))
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packed_hits(spark, sf, 12000)
 
 
-@query()
+@query(PACKED.replace("BUDGET", "220000"))
 def context_pack_full(spark: SparkSession, sf: str) -> DataFrame:
     """RET-3 with the whole budget"""
     return packed_hits(spark, sf, 220_000)
@@ -263,16 +285,19 @@ def load_documents(spark: SparkSession, sf: str) -> DataFrame:
     return V.load_documents(papers, none).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query(with_views(["papers_v"], """
-, b AS (SELECT owner_id, year, paper_id, '[S' || row_number() OVER w || '] TITLE: ' || title || chr(10) || 'Authors: ' || array_to_string(authors[1:8], ', ') || ' | Year: ' || year || CASE WHEN venue IS NULL THEN '' ELSE ' | Venue: ' || venue END || chr(10) || chr(10) || substr(trim(full_text, chr(32) || chr(9) || chr(10) || chr(13)), 1, 500) AS block, row_number() OVER w AS n FROM papers_v WINDOW w AS (PARTITION BY owner_id ORDER BY year, paper_id)),
+PAPER_PACK = with_views(["papers_v"], """
+, b AS (SELECT owner_id, year, paper_id, '[S' || row_number() OVER w || '] TITLE: ' || title || chr(10) || 'Authors: ' || array_to_string(authors[1:8], ', ') || ' | Year: ' || year || CASE WHEN venue IS NULL THEN '' ELSE ' | Venue: ' || venue END || chr(10) || chr(10) || substr(trim(full_text, chr(32) || chr(9) || chr(10) || chr(13)), 1, EACH) AS block, row_number() OVER w AS n FROM papers_v WINDOW w AS (PARTITION BY owner_id ORDER BY year, paper_id)),
 c AS (SELECT *, sum(length(block)) OVER (PARTITION BY owner_id ORDER BY n) AS used FROM b)
-SELECT owner_id, md5(string_agg(block, chr(10) || chr(10) || '========' || chr(10) || chr(10) ORDER BY n)) AS context, count(*) AS n_blocks FROM c WHERE used <= 20000 GROUP BY owner_id"""))
+SELECT owner_id, md5(string_agg(block, chr(10) || chr(10) || '========' || chr(10) || chr(10) ORDER BY n)) AS context, count(*) AS n_blocks FROM c WHERE used <= BUDGET GROUP BY owner_id""")
+
+
+@query(PAPER_PACK.replace("EACH", "500").replace("BUDGET", "20000"))
 def paper_pack(spark: SparkSession, sf: str) -> DataFrame:
     """RET-4"""
     return packed_papers(spark, sf, 500, 20000)
 
 
-@query()
+@query(PAPER_PACK.replace("EACH", "60000").replace("BUDGET", "220000"))
 def paper_pack_full(spark: SparkSession, sf: str) -> DataFrame:
     """RET-4 with the whole budgets of a paper and of the pack"""
     return packed_papers(spark, sf, 60_000, 220_000)
@@ -304,16 +329,19 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return D.html_text(table(spark, sf, "pages"))
 
 
-@query(f"""WITH {PAGES}, n AS (SELECT doc_id AS paper_id, page_no, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 120 AND page_no % 2 = 0 OR page_no % 5 = 0 AS ocr, (page_no % 10) / 10.0::DOUBLE AS c FROM pg),
-r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, ocr ORDER BY page_no) AS k FROM n), x AS (SELECT *, ocr AND k <= 3 AS done FROM r)
+PROVENANCE = f"""WITH {PAGES}, n AS (SELECT doc_id AS paper_id, page_no, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 120 AND page_no % 2 = 0 OR page_no % 5 = 0 AS ocr, (page_no % 10) / 10.0::DOUBLE AS c FROM pg),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, ocr ORDER BY page_no) AS k FROM n), x AS (SELECT *, ocr AND k <= MOST AS done FROM r)
 SELECT paper_id, CASE WHEN count(*) FILTER (done) = 0 THEN 'native' WHEN count(*) FILTER (done) = count(*) THEN 'ocr' ELSE 'mixed' END AS text_source, count(*) AS page_count,
-  coalesce(list(page_no ORDER BY page_no) FILTER (done), []) AS ocr_pages, coalesce(list(page_no ORDER BY page_no) FILTER (ocr AND NOT done), []) AS skipped_pages, round(avg(c) FILTER (done), 4) AS ocr_confidence FROM x GROUP BY paper_id""")
+  coalesce(list(page_no ORDER BY page_no) FILTER (done), []) AS ocr_pages, coalesce(list(page_no ORDER BY page_no) FILTER (ocr AND NOT done), []) AS skipped_pages, round(avg(c) FILTER (done), 4) AS ocr_confidence FROM x GROUP BY paper_id"""
+
+
+@query(PROVENANCE.replace("MOST", "3"))
 def page_provenance(spark: SparkSession, sf: str) -> DataFrame:
     """FIL-9, DOC-10"""
     return provenance(spark, sf, 3)
 
 
-@query()
+@query(PROVENANCE.replace("MOST", "40"))
 def page_provenance_full(spark: SparkSession, sf: str) -> DataFrame:
     """FIL-9, DOC-10 with all 40 pages"""
     return provenance(spark, sf, 40)

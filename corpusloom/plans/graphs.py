@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
 from corpusloom.operators import discovery as X
 from corpusloom.operators import graph as G
+from corpusloom.operators import retrieval as RT
 from corpusloom.operators import titles as TT
 from corpusloom.operators import vectors as V
+from corpusloom.plans import documents as D_PLANS
 from corpusloom.plans.views import table, view, with_views
 from corpusloom.storage import cut
 
@@ -234,6 +236,10 @@ def lbd_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 QUESTION = "concat('How does Supplier#', lpad(doc_id % 100 + 1, 9, '0'), ' relate to Part ', doc_id % 200 + 1, ' and the P', doc_id % 20 * 10, '?')"
 
 
+#: What DuckDB pads is text.
+LPAD, LPAD_SQL = "lpad(doc_id % 100 + 1, 9, '0')", "lpad(CAST(doc_id % 100 + 1 AS VARCHAR), 9, '0')"
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("doc_id % 100 = 0").selectExpr("doc_id AS question_id", f"{QUESTION} AS question")
 
@@ -284,23 +290,30 @@ def graph_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_of(spark, sf)
 
 
-@query(with_views(KG, ADJ + FACTS + """, l AS (SELECT question_id, place, '[G' || place || '] ' || source || ' ' || lower(replace(relation, '_', ' ')) || ' ' || target || ' (from: ' || array_to_string(list_transform(papers, lambda p: 'Order ' || p[2:])[1:2], ', ') || ')' AS line FROM fx),
-u AS (SELECT *, sum(length(line)) OVER (PARTITION BY question_id ORDER BY place) AS used FROM l) SELECT question_id, string_agg(line, chr(10) ORDER BY place) AS context, count(*) AS n_blocks FROM u WHERE used <= 2000 GROUP BY question_id"""))
+LINES = """, l AS (SELECT question_id, place, '[G' || place || '] ' || source || ' ' || lower(replace(relation, '_', ' ')) || ' ' || target || ' (from: ' || array_to_string(list_transform(papers, lambda p: 'Order ' || p[2:])[1:2], ', ') || ')' AS line FROM fx),"""
+CONTEXT = with_views(KG, ADJ + FACTS + LINES + """
+u AS (SELECT *, sum(length(line)) OVER (PARTITION BY question_id ORDER BY place) AS used FROM l) SELECT question_id, string_agg(line, chr(10) ORDER BY place) AS context, count(*) AS n_blocks FROM u WHERE used <= BUDGET GROUP BY question_id""")
+
+
+@query(CONTEXT.replace("BUDGET", "2000"))
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-24"""
     return packed_facts(spark, sf, 2000)
 
 
-@query()
+@query(CONTEXT.replace("BUDGET", "12000"))
 def graph_context_full(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-24 with the whole budget"""
     return packed_facts(spark, sf, 12_000)
 
 
-def packed_facts(spark: SparkSession, sf: str, budget: int) -> DataFrame:
+def order_line() -> Column:
     titles = F.transform("papers", lambda p: F.concat(F.lit("Order "), F.substring(p, F.lit(2), F.length(p))))
-    line = X.fact_line(F.col("place"), F.col("source"), F.col("relation"), F.col("target"), titles, F.col("evidence"))
-    return V.pack_blocks(facts_of(spark, sf).withColumn("line", line), "question_id", "place", "line", budget, "\n")
+    return X.fact_line(F.col("place"), F.col("source"), F.col("relation"), F.col("target"), titles, F.col("evidence"))
+
+
+def packed_facts(spark: SparkSession, sf: str, budget: int) -> DataFrame:
+    return V.pack_blocks(facts_of(spark, sf).withColumn("line", order_line()), "question_id", "place", "line", budget, "\n")
 
 
 @query()
@@ -314,6 +327,27 @@ def graph_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return by_graph.join(hits.groupBy("question_id").agg(F.count("*").alias("n_passages")), "question_id", "left")
 
 
+MODED = f"SELECT doc_id AS item_id, CASE WHEN doc_id % 700 = 0 THEN ' ' ELSE {QUESTION.replace(LPAD, LPAD_SQL)} END AS text, CASE doc_id // 100 % 3 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'vector' ELSE 'graph' END AS mode FROM documents WHERE doc_id % 100 = 0"
+
+
+@query(with_views(KG, ADJ + FACTS.replace("FROM documents WHERE doc_id % 100 = 0)", "FROM documents WHERE doc_id % 100 = 0 AND doc_id % 700 <> 0 AND doc_id // 100 % 3 <> 1)") + LINES.rstrip(",") + ", " + D_PLANS.search_sql(f"SELECT item_id, text FROM ({MODED}) WHERE trim(text) <> '' AND mode <> 'graph'", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents", 8) + f""",
+al2 AS (SELECT question_id, list(name ORDER BY confidence DESC, id) AS matches FROM (SELECT question_id, n.id, n.name, 0.85::DOUBLE AS confidence FROM q JOIN kg_nodes_v n ON n.id = 'p:' || k UNION ALL SELECT question_id, n.id, n.name, 0.8::DOUBLE FROM q JOIN kg_nodes_v n ON n.id = 'p:' || z WHERE z <> k AND length('P' || z) >= 3) GROUP BY 1),
+tb AS (SELECT item_id, place, '[S' || (place + 1) || '] d' || chunk_id || ' (n/a)' || chr(10) || trim(text, {D_PLANS.WS}) AS block FROM fused JOIN passages USING (chunk_id)),
+tc AS (SELECT item_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context, count(*) AS n_passages FROM (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY place) AS n FROM tb) WHERE n <= 220000 GROUP BY 1),
+gc AS (SELECT question_id, string_agg(line, chr(10) ORDER BY place) AS graph_context FROM (SELECT *, sum(length(line)) OVER (PARTITION BY question_id ORDER BY place) AS used FROM l) WHERE used <= 12000 GROUP BY 1),
+nf AS (SELECT question_id, count(*) AS n_facts FROM fx GROUP BY 1)
+SELECT m.item_id AS question_id, m.mode, md5(coalesce(context, '')) AS context, coalesce(graph_context, '') AS graph_context, coalesce(n_passages, 0) AS n_passages, coalesce(n_facts, 0) AS n_facts, coalesce(matches, []) AS matches,
+  CASE WHEN trim(m.text) = '' THEN 'no question' WHEN m.mode <> 'vector' AND matches IS NULL THEN 'no entity was named' WHEN m.mode <> 'vector' AND n_facts IS NULL THEN 'the entities are isolated' END AS reason
+FROM ({MODED}) m LEFT JOIN tc USING (item_id) LEFT JOIN gc ON gc.question_id = m.item_id LEFT JOIN nf ON nf.question_id = m.item_id LEFT JOIN al2 ON al2.question_id = m.item_id"""))
+def hybrid_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """RET-8: a third of the questions each from text, graph and both; a few are blank."""
+    nodes, edges = kg(spark, sf)
+    asked = questions(spark, sf).select("question_id", F.when(F.col("question_id") % 700 == 0, " ").otherwise(F.col("question")).alias("question"), F.element_at(F.array(F.lit("hybrid"), F.lit("vector"), F.lit("graph")), (F.floor(F.col("question_id") / 100) % 3 + 1).cast("int")).alias("mode"))
+    passages = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("title"), "text")
+    out = RT.retrieve(asked, passages, nodes, edges, order_line())
+    return out.withColumn("context", F.md5(F.col("context").cast("binary")))
+
+
 @query()
 def figure_edges(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-7: a figure per order line that names its part and its supplier."""

@@ -12,6 +12,8 @@ from pyspark.sql import types as TY
 from corpusloom.operators import chunks as C
 from corpusloom.operators import listings as L
 from corpusloom.operators import results as R
+from corpusloom.operators import retrieval as RT
+from corpusloom.plans import documents as D_PLANS
 from corpusloom.plans.views import table, view, with_views
 from corpusloom.sources import tables as S
 from corpusloom.storage import shared_dir
@@ -147,17 +149,29 @@ def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return R.judge_claims(claims, first.unionByName(later))
 
 
-@query()
-def claim_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """VER-2, LLM-5: each benchmark text as a claim, its best passages found for all claims at once, in one prompt."""
-    from corpusloom.operators import chunks as C
-    from corpusloom.operators import vectors as V
+CLAIMS = "SELECT item_id, text FROM benchmark"
+EVIDENCE = D_PLANS.search_sql(CLAIMS, "SELECT doc_id || '/' || i // 1000 AS chunk_id, substr(text, i + 1, 1200) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS i FROM documents)", 4) + """,
+ev AS (SELECT 'v' || (item_id % 5) AS verification_id, item_id AS claim_index, place AS rank, chunk_id, 'd' || split_part(chunk_id, '/', 1) AS paper_id, score, substr(passages.text, 1, 700) AS passage FROM fused JOIN passages USING (chunk_id))"""
 
+
+def claims_and_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     claims = table(spark, sf, "benchmark").select(F.concat(F.lit("v"), F.col("item_id") % 5).alias("verification_id"), F.col("item_id").alias("claim_index"), F.col("text").alias("claim"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    hits = V.sparse_top_k(C.hashed_terms(claims, "claim_index", "claim"), C.hashed_terms(docs, "doc_id", "text"), 4, "claim_index", "doc_id")
-    passages = hits.join(docs, "doc_id").join(claims.select("claim_index", "verification_id"), "claim_index").select("verification_id", "claim_index", "rank", F.substring("text", 1, 700).alias("passage"))
-    return R.prompts_of(claims, passages)
+    chunks = C.fixed_chunks(table(spark, sf, "documents"), "doc_id", "text")
+    return claims, chunks.select(F.concat_ws("/", "doc_id", "idx").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("paper_id"), "text")
+
+
+@query(f"WITH {EVIDENCE} SELECT * FROM ev")
+def claim_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """VER-2: each benchmark text as a claim, its best chunks by expanded and fused search for all claims at once."""
+    return RT.gather_evidence(*claims_and_chunks(spark, sf))
+
+
+@query(f"""WITH {EVIDENCE}, own AS (SELECT claim_index, string_agg('  - ' || passage, chr(10) ORDER BY rank) AS found FROM ev GROUP BY 1)
+SELECT 'v' || (item_id % 5) AS verification_id, string_agg('[' || item_id || '] ' || text || chr(10) || coalesce(found, '  (nothing found)'), chr(10) || chr(10) ORDER BY item_id) AS prompt FROM benchmark LEFT JOIN own ON claim_index = item_id GROUP BY 1""")
+def claim_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """VER-2, LLM-5: the claims of a verification with their passages, in one prompt."""
+    claims, chunks = claims_and_chunks(spark, sf)
+    return R.prompts_of(claims, RT.gather_evidence(claims, chunks))
 
 
 @query("SELECT doc_id, 'An answer about ' || lang || chr(10) || 'small sample' || chr(10) || 'only ' || source || chr(10) || 'in short' AS prose FROM documents")
