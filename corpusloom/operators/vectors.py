@@ -247,17 +247,58 @@ def phrases(text: Column, most: int = 6, width: int = 8) -> Column:
     return F.slice(F.transform(first, lambda s: s["p"]), 1, most)
 
 
+#: Phrases of one automaton, about.
+AUTOMATON = 20_000
+
+
 def locate(passages: DataFrame, pages: DataFrame, window: int = 1) -> DataFrame:
     """RET-10: page and character of the first phrase of a passage that occurs near its hinted page.
 
-    ``passages``: passage_id, paper_id, text, hint (may be null: all pages, in order). The hinted
-    page comes first, then the next, then the one before. A passage that is not found keeps its hint.
+    ``passages``: passage_id, paper_id, text, hint. The hinted page comes first, then the next, then the one
+    before; all pages in order if the hint is null or no page of the paper. A passage that is not found keeps its
+    hint. Offsets count in the page in lower case with single blanks.
+
+    The phrases of a paper are one automaton (Aho and Corasick, 1975), or several if it has very many, and a
+    page is read once by each: it is neither searched nor normalised for each phrase.
     """
-    wanted = passages.select("passage_id", "paper_id", "hint", F.posexplode(phrases(F.col("text"))).alias("phrase_no", "phrase"))
-    d = F.col("page_no") - F.col("hint")
-    order = F.when(F.col("hint").isNull(), F.col("page_no")).otherwise(F.when(d == 0, 0).when(d > 0, 2 * d - 1).otherwise(-2 * d))
-    near = F.col("hint").isNull() | (F.abs(d) <= window)
-    hits = wanted.join(pages.select("paper_id", "page_no", F.col("text").alias("page_text")), "paper_id").filter(near).withColumn("at", F.position(F.lower("phrase"), F.lower(F.regexp_replace("page_text", r"\s+", " ")))).filter("at > 0")
-    best = hits.groupBy("passage_id").agg(F.min_by(F.struct("page_no", "phrase", (F.col("at") - 1).alias("offset")), F.struct(order, F.col("phrase_no"))).alias("b"))
-    out = passages.join(best, "passage_id", "left")
-    return out.select("passage_id", F.coalesce("b.page_no", "hint", F.lit(1)).alias("page_no"), F.col("b.phrase").alias("phrase"), F.col("b.offset").alias("offset"), F.col("b").isNotNull().alias("found"))
+    phrased = cut(passages.select("passage_id", "paper_id", "hint", F.posexplode(phrases(F.col("text"))).alias("phrase_no", "phrase")), "phrases")
+    per_paper = phrased.groupBy("paper_id").agg(F.ceil(F.count("*") / AUTOMATON).cast("int").alias("parts"))
+    dealt = phrased.join(per_paper, "paper_id").withColumn("part", F.pmod(F.xxhash64("passage_id"), F.col("parts")).cast("int"))
+    wanted = cut(dealt.groupBy("paper_id", "part").agg(F.collect_list(F.struct(F.col("passage_id").cast("string").alias("id"), "hint", "phrase_no", F.lower("phrase").alias("low"))).alias("wanted")), "wanted")
+    counts = pages.groupBy("paper_id").agg(F.count("*").alias("n_pages"))
+    rows = pages.select("paper_id", "page_no", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("text")).join(counts, "paper_id").join(wanted, "paper_id").select("paper_id", "part", "page_no", "n_pages", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        held, automaton, owners = None, None, {}
+        for batch in batches:
+            out = ([], [], [], [], [])
+            lists = batch.column(5)
+            for i, (paper, part, page, n_pages, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if held != (paper, part):
+                    held, automaton, owners = (paper, part), ahocorasick.Automaton(), {}
+                    for w in lists[i].as_py():
+                        owners.setdefault(w["low"], []).append((w["id"], w["hint"], w["phrase_no"]))
+                    for low in owners:
+                        automaton.add_word(low, low)
+                    automaton.make_automaton()
+                first = {}
+                for end, low in automaton.iter(text or ""):
+                    first.setdefault(low, end - len(low) + 1)
+                for low, at in first.items():
+                    for passage, hint, phrase_no in owners[low]:
+                        apart = None if hint is None or not 1 <= hint <= n_pages else page - hint
+                        if apart is not None and abs(apart) > window:
+                            continue
+                        order = page if apart is None else 2 * abs(apart) - (apart > 0)
+                        for column, value in zip(out, (passage, order, phrase_no, page, at), strict=True):
+                            column.append(value)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["_id", "order", "phrase_no", "page_no", "offset"])
+
+    met = rows.sortWithinPartitions("paper_id", "part").withColumn("page_no", F.col("page_no").cast("int")).mapInArrow(run, "_id string, order int, phrase_no int, page_no int, offset int")
+    best = met.groupBy("_id").agg(F.min(F.struct("order", "phrase_no", "page_no", "offset")).alias("b")).select("_id", "b.*")
+    best = best.join(phrased.select(F.col("passage_id").cast("string").alias("_id"), "phrase_no", "phrase"), ["_id", "phrase_no"])
+    out = passages.select("passage_id", "hint", F.col("passage_id").cast("string").alias("_id")).join(best, "_id", "left")
+    return out.select("passage_id", F.coalesce("page_no", "hint", F.lit(1)).alias("page_no"), "phrase", "offset", F.col("phrase_no").isNotNull().alias("found"))

@@ -311,7 +311,15 @@ def packed_papers(spark: SparkSession, sf: str, most: int, budget: int) -> DataF
     return V.pack_blocks(papers.withColumn("block", block), "owner_id", "n", "block", budget, "\n\n========\n\n").withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
-@query()
+@query(f"""WITH {PAGES}, ps AS (SELECT doc_id, substr(text, CAST(floor(length(text) * 0.4) AS INT) + 1, 300) AS text, CAST(floor((CAST(floor(length(text) * 0.4) AS INT) + 1) / 900) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INT) AS hint FROM documents WHERE length(text) > 40),
+x AS (SELECT doc_id, hint, trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')) AS x FROM ps),
+s AS (SELECT doc_id, hint, x, string_split(x, ' ') AS w, list_filter(string_split(regexp_replace(x, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda y: length(y) > 30)[1:6] AS ss FROM x),
+c AS (SELECT doc_id, hint, list_concat(list_transform(ss, lambda y: CASE WHEN len(string_split(y, ' ')) >= 4 THEN array_to_string(string_split(y, ' ')[1:8], ' ') END), [CASE WHEN len(w) >= 4 THEN array_to_string(w[1:8], ' ') END, CASE WHEN len(w) > 16 THEN array_to_string(w[len(w) // 2 + 1:len(w) // 2 + 8], ' ') END]) AS every FROM s),
+ph AS (SELECT doc_id, hint, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS phrase_no FROM (SELECT doc_id, hint, i, phrase, row_number() OVER (PARTITION BY doc_id, lower(phrase) ORDER BY i) AS dup FROM (SELECT doc_id, hint, unnest(every) AS phrase, unnest(range(1, len(every) + 1)) AS i FROM c) WHERE length(phrase) > 12) WHERE dup = 1),
+np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1),
+ht AS (SELECT doc_id, page_no, phrase, phrase_no, strpos(lower(regexp_replace(pg.text, '[\\s\\x0B]+', ' ', 'g')), lower(phrase)) - 1 AS spot, CASE WHEN hint BETWEEN 1 AND n THEN CASE WHEN page_no > hint THEN 2 * (page_no - hint) - 1 ELSE 2 * (hint - page_no) END ELSE page_no END AS o FROM ph JOIN np USING (doc_id) JOIN pg USING (doc_id) WHERE phrase_no < 6 AND (hint NOT BETWEEN 1 AND n OR abs(page_no - hint) <= 1)),
+b AS (SELECT doc_id, arg_min(struct_pack(p := page_no, f := phrase, spot := spot), o * 10 + phrase_no) AS b FROM ht WHERE spot >= 0 GROUP BY 1)
+SELECT doc_id AS passage_id, CAST(coalesce(b.p, hint) AS INT) AS page_no, b.f AS phrase, CAST(b.spot AS INT) AS "offset", b IS NOT NULL AS found FROM ps LEFT JOIN b USING (doc_id)""")
 def locate_passage(spark: SparkSession, sf: str) -> DataFrame:
     """RET-9, RET-10: a passage from the middle of each document, hinted one page off."""
     docs = table(spark, sf, "documents").filter("length(text) > 40")

@@ -228,3 +228,28 @@ def test_hubs_are_dealt_over_keys(spark, monkeypatch):
         monkeypatch.setattr(X, "HUB_LINKS", most)
         got.append((sorted(map(str, X.open_discovery(start, entities, adjacent).collect())), sorted(map(str, X.open_diagnostics(start, entities, adjacent).collect()))))
     assert got[0] == got[1] and len(got[0][0]) > 20
+
+
+def test_passages_are_located_as_by_looking_page_by_page(spark, monkeypatch):
+    rng = random.Random(4)
+    pages = {p: [" ".join(rng.choice(["Alpha", "beta", "gamma\n", "Delta.", "épsilon", "zeta"]) for _ in range(60)) for _ in range(4)] for p in ("p", "q")}
+    passages = [(i, rng.choice("pqr"), " ".join(rng.choice(sum(pages.values(), [])).split()[20:50]) if i % 4 else "nothing like this occurs anywhere", rng.choice([None, 0, 1, 2, 3, 4, 9])) for i in range(60)] + [(90, "p", None, 2), (91, "p", "", None)]
+    df = spark.createDataFrame(passages, "passage_id int, paper_id string, text string, hint int")
+    forms = {r["passage_id"]: r["f"] for r in df.select("passage_id", V.phrases(F.col("text")).alias("f")).collect()}
+
+    def look(paper, hint, phrases):
+        own = pages.get(paper, [])
+        order = [n for n in (hint, hint + 1, hint - 1) if 1 <= n <= len(own)] if hint and 1 <= hint <= len(own) else range(1, len(own) + 1)
+        for n in order:
+            text = " ".join(own[n - 1].split()).lower()
+            for phrase in phrases:
+                if phrase.lower() in text:
+                    return n, phrase, text.index(phrase.lower()), True
+        return (hint if hint is not None else 1), None, None, False
+
+    rows = spark.createDataFrame([(p, n + 1, t) for p, own in pages.items() for n, t in enumerate(own)], "paper_id string, page_no int, text string")
+    expected = sorted((i, *look(p, h, forms[i])) for i, p, _, h in passages)
+    for most in (20_000, 7):
+        monkeypatch.setattr(V, "AUTOMATON", most)
+        assert sorted((r["passage_id"], r["page_no"], r["phrase"], r["offset"], r["found"]) for r in V.locate(df, rows).collect()) == expected
+    assert sum(e[4] for e in expected) > 10
