@@ -114,8 +114,8 @@ def open_discovery(sources: DataFrame, entities: DataFrame, adjacent: DataFrame,
     rows = a_b.join(b_c, ["b", "c"]).filter("b <> a AND b <> c")
     per_b = rows.groupBy("a", "c", "b").agg(F.array_sort(F.collect_list(F.struct("a_to_b", "b_to_c", "a_papers", "c_papers"))).alias("links"))
     weights = G.degrees(adjacent).select(F.col("id").alias("b"), F.col("hub_weight").alias("w"))
-    per_b = per_b.join(weights, "b").join(own.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
-    chains = per_b.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("order"), "b", "b_name", "w", "links"))).alias("chains"))
+    per_b = per_b.join(weights, "b").join(own.select(F.col("id").alias("b"), F.col("name").alias("b_name"), F.col("type").alias("b_type")), "b")
+    chains = per_b.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("order"), "b", "b_name", "b_type", "w", "links"))).alias("chains"))
     return best.join(chains, ["a", "c"])
 
 

@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
 from corpusloom.operators import discovery as X
 from corpusloom.operators import graph as G
+from corpusloom.operators import reports as RP
 from corpusloom.operators import retrieval as RT
 from corpusloom.operators import titles as TT
 from corpusloom.operators import vectors as V
@@ -233,6 +234,17 @@ def lbd_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.join(text, ["a", "c"])
 
 
+@query(with_views(KG, SOURCES + """, g AS (SELECT DISTINCT a, b, c FROM abc JOIN pr USING (a, c) WHERE NOT linked AND NOT shares), f AS (SELECT a, c, round(sum(w), 6) AS score, count(*) AS support FROM g JOIN dg ON dg.id = b GROUP BY ALL),
+best AS (SELECT * FROM (SELECT a, c, score, support, row_number() OVER (PARTITION BY a ORDER BY score DESC, support DESC, en.name, c) AS place FROM f JOIN en ON en.id = c) WHERE place <= 25),
+ln AS (SELECT best.a, best.c, row_number() OVER (PARTITION BY best.a, best.c ORDER BY w DESC, abc.b, ab, bc) AS i, '- ' || ea.name || ' —' || ab || '→ ' || eb.name || ' (' || eb.type || ') —' || bc || '→ ' || ec.name AS line FROM best JOIN abc ON abc.a = best.a AND abc.c = best.c JOIN dg ON dg.id = abc.b JOIN en ea ON ea.id = best.a JOIN en eb ON eb.id = abc.b JOIN en ec ON ec.id = best.c),
+tx AS (SELECT a, c, string_agg(line, chr(10) ORDER BY i) AS lines FROM ln WHERE i <= 5 GROUP BY ALL)
+SELECT a, c, '## A' || chr(10) || ea.name || chr(10) || chr(10) || '## C' || chr(10) || ec.name || ' (' || ec.type || ')' || chr(10) || chr(10) || '## Paths' || chr(10) || lines || chr(10) || chr(10) || '## Graph' || chr(10) || 'Intermediates: ' || support || '; papers: ' || len(ea.papers) || ' and ' || len(ec.papers) || chr(10) || chr(10) || 'Is the link between A and C worth a study?' AS prompt
+FROM best JOIN tx USING (a, c) JOIN en ea ON ea.id = a JOIN en ec ON ec.id = c"""))
+def chain_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """LLM-5: the chains of implied connections"""
+    return RP.chain_prompts(X.open_discovery(sources(spark, sf), *entities(spark, sf)))
+
+
 QUESTION = "concat('How does Supplier#', lpad(doc_id % 100 + 1, 9, '0'), ' relate to Part ', doc_id % 200 + 1, ' and the P', doc_id % 20 * 10, '?')"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as TY
 
 from corpusloom.operators import chunks as C
 from corpusloom.operators import listings as L
+from corpusloom.operators import reports as RP
 from corpusloom.operators import results as R
 from corpusloom.operators import retrieval as RT
 from corpusloom.plans import documents as D_PLANS
@@ -572,6 +573,127 @@ def load_table(spark: SparkSession, sf: str) -> DataFrame:
     return S.load(spark, sf, "documents.parquet").filter("n_chars > 1000").select("doc_id", "text")
 
 
+# --- sections, details, prompts ---
+
+#: A run for each source: its documents are gaps, themes and papers; every value comes from the rows.
+GAP_ROWS = """g AS (SELECT source AS run_id, doc_id AS place, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'high' ELSE 'low' END AS severity, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'data_' || lang END AS category, substr(text, 1, 60) AS title, substr(text, 50, 120) AS description,
+  CASE WHEN doc_id % 2 = 0 THEN list_value(substr(text, 1, 20), lang || ' | ' || n_chars) ELSE [] END AS evidence, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE 'try ' || lang END AS direction, CASE WHEN doc_id % 3 = 1 THEN list_value('d' || (doc_id + 1), 'd' || (doc_id + 2)) ELSE [] END AS related FROM documents WHERE source <> 'src3')"""
+PLAIN = "replace(trim(regexp_replace(coalesce({}, ''), '[\\s\\x0B]+', ' ', 'g')), '|', '\\|')"
+
+
+def plain_sql(value: str) -> str:
+    return PLAIN.format(value)
+
+
+BULLETS = "array_to_string(list_transform({}, lambda x: '- ' || " + plain_sql("x") + "), chr(10))"
+LISTED = "array_to_string(list_transform({}, lambda x: " + plain_sql("x") + "), ', ')"
+
+
+@query(f"""WITH {GAP_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place) AS i FROM g),
+t AS (SELECT run_id, i, concat_ws(chr(10), '### Gap ' || i || ': ' || {plain_sql('title')}, '**Severity:** ' || upper(coalesce(severity, 'medium')) || ' · **Category:** ' || CASE WHEN category IS NULL THEN 'General' ELSE 'Data ' || upper(category[6]) || category[7:] END || chr(10), {plain_sql('description')} || chr(10),
+  CASE WHEN len(evidence) > 0 THEN '**Evidence:**' || chr(10) || {BULLETS.format('evidence')} || chr(10) END, CASE WHEN direction <> '' THEN '**Proposed direction:** ' || {plain_sql('direction')} || chr(10) END, CASE WHEN len(related) > 0 THEN '**Related papers:** ' || {LISTED.format('related')} || chr(10) END) AS t FROM n),
+b AS (SELECT run_id, string_agg(t, chr(10) ORDER BY i) AS body FROM t GROUP BY 1), l AS (SELECT source AS run_id, min(n_chars) AS lo, count(*) AS n FROM documents GROUP BY 1)
+SELECT run_id, md5(CASE WHEN body IS NULL THEN '_No gaps are known yet._' ELSE concat_ws(chr(10), CASE WHEN n % 2 = 0 THEN 'Summary ' || lo || chr(10) END, body, '### Under-explored Intersections' || chr(10) || '- ' || run_id || ' x ' || n || chr(10), CASE WHEN lo % 2 = 0 THEN '### Open Questions' || chr(10) || '- why ' || lo || chr(10) END) END) AS text FROM l LEFT JOIN b USING (run_id)""")
+def gap_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """RPT-2"""
+    docs = table(spark, sf, "documents")
+    none, d = F.array().cast("array<string>"), F.col("doc_id")
+    text = lambda c: F.col(c).cast("string")
+    gaps = docs.filter("source <> 'src3'").select(
+        F.col("source").alias("run_id"), d.alias("place"), F.when(d % 4 == 0, None).when(d % 4 == 1, "high").otherwise("low").alias("severity"), F.when(d % 3 != 0, F.concat(F.lit("data_"), "lang")).alias("category"),
+        F.substring("text", 1, 60).alias("title"), F.substring("text", 50, 120).alias("description"), F.when(d % 2 == 0, F.array(F.substring("text", 1, 20), F.concat("lang", F.lit(" | "), text("n_chars")))).otherwise(none).alias("evidence"),
+        F.when(d % 5 == 0, None).when(d % 5 == 1, "").otherwise(F.concat(F.lit("try "), "lang")).alias("direction"), F.when(d % 3 == 1, F.array(*(F.concat(F.lit("d"), (d + k).cast("string")) for k in (1, 2)))).otherwise(none).alias("related"),
+    )
+    of_run = docs.groupBy(F.col("source").alias("run_id")).agg(F.min("n_chars").alias("lo"), F.count("*").alias("n"))
+    landscapes = of_run.select("run_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("Summary "), text("lo"))).alias("summary"), F.array(F.concat("run_id", F.lit(" x "), text("n"))).alias("intersections"), F.when(F.col("lo") % 2 == 0, F.array(F.concat(F.lit("why "), text("lo")))).otherwise(none).alias("open_questions"))
+    return RP.gap_sections(gaps, landscapes).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(f"""WITH t AS (SELECT source AS run_id, doc_id AS place, concat_ws(chr(10), '### ' || {plain_sql("lang || ' ' || doc_id")}, {plain_sql('substr(text, 1, 90)')}, CASE WHEN doc_id % 3 > 0 THEN chr(10) || '_Papers:_ ' || {LISTED.format("list_value('d' || doc_id, source)")} END, '') AS t FROM documents WHERE doc_id % 4 > 0),
+b AS (SELECT run_id, string_agg(t, chr(10) ORDER BY place) AS body FROM t GROUP BY 1), s AS (SELECT source AS run_id, max(n_chars) AS hi, count(*) AS n FROM documents GROUP BY 1)
+SELECT run_id, md5(concat_ws(chr(10), CASE WHEN n % 2 = 1 THEN 'Overview of ' || n || chr(10) END, body, '### Points of Agreement' || chr(10) || '- at most ' || hi || chr(10), CASE WHEN hi % 2 = 0 THEN '### Methodological Trends' || chr(10) || '- longer' || chr(10) || '- by ' || hi || chr(10) END)) AS text,
+  CASE WHEN n % 3 = 0 THEN '' ELSE '> **Incomplete report.**' || chr(10) || '>' || chr(10) || array_to_string(list_transform(range(1, least(10, n % 14) + 1), lambda i: '> - note ' || i), chr(10)) || chr(10) END AS notes FROM s LEFT JOIN b USING (run_id) WHERE n % 14 > 0 OR n % 3 = 0""")
+def synthesis_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """RPT-2: synthesis and notes"""
+    docs = table(spark, sf, "documents")
+    none, d, text = F.array().cast("array<string>"), F.col("doc_id"), lambda c: F.col(c).cast("string")
+    themes = docs.filter("doc_id % 4 > 0").select(F.col("source").alias("run_id"), d.alias("place"), F.concat_ws(" ", "lang", "doc_id").alias("name"), F.substring("text", 1, 90).alias("description"), F.when(d % 3 > 0, F.array(F.concat(F.lit("d"), text("doc_id")), "source")).otherwise(none).alias("papers"))
+    runs = docs.groupBy(F.col("source").alias("run_id")).agg(F.max("n_chars").alias("hi"), F.count("*").alias("n"))
+    summaries = runs.select("run_id", F.when(F.col("n") % 2 == 1, F.concat(F.lit("Overview of "), text("n"))).alias("overview"), F.array(F.concat(F.lit("at most "), text("hi"))).alias("agreements"), none.alias("disagreements"), F.when(F.col("hi") % 2 == 0, F.array(F.lit("longer"), F.concat(F.lit("by "), text("hi")))).otherwise(none).alias("trends"))
+    out = RP.synthesis_sections(summaries, themes).withColumn("text", F.md5(F.col("text").cast("binary")))
+    notes = F.when(F.col("n") % 3 != 0, F.transform(F.sequence(F.lit(1), (F.col("n") % 14).cast("int")), lambda i: F.concat(F.lit("note "), i.cast("string")))).otherwise(none)
+    return out.join(runs.filter("n % 14 > 0 OR n % 3 = 0").select("run_id", RP.notes_block(notes).alias("notes")), "run_id")
+
+
+@query(P + f"""SELECT owner_id, md5(string_agg('1. ' || CASE WHEN d % 6 = 0 THEN 'Unknown author' ELSE array_to_string(authors2[1:5], ', ') || CASE WHEN len(authors2) > 5 THEN ' et al.' ELSE '' END END || ' (' || CASE WHEN d % 7 = 0 THEN 'n.d.' ELSE '' || year END || '). ' || {plain_sql('title')} || '.' || CASE WHEN venue IS NULL THEN '' ELSE ' _' || venue || '_.' END || CASE WHEN doi IS NULL THEN '' ELSE ' https://doi.org/' || doi END, chr(10)
+  ORDER BY CASE WHEN d % 6 = 0 THEN '' ELSE authors2[1] END, CASE WHEN d % 7 = 0 THEN 0 ELSE year END, paper_id)) AS "references", count(*) AS n_references FROM (SELECT *, list_transform(range(0, d % 8 + 1), lambda i: 'Author ' || (d + i) % 50) AS authors2 FROM q) GROUP BY owner_id""")
+def report_references(spark: SparkSession, sf: str) -> DataFrame:
+    """CIT-8: the references of a report"""
+    d = F.regexp_extract("paper_id", r"\d+", 0).cast("long")
+    many = F.transform(F.sequence(F.lit(0), (d % 8).cast("int")), lambda i: F.concat(F.lit("Author "), ((d + i) % 50).cast("string")))
+    papers = view(spark, sf, "papers_v").withColumn("authors", F.when(d % 6 == 0, F.array().cast("array<string>")).otherwise(many)).withColumn("year", F.when(d % 7 == 0, None).otherwise(F.col("year")))
+    return RP.report_references(papers, "owner_id").withColumn("references", F.md5(F.col("references").cast("binary")))
+
+
+def matrix_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for each order; those of one customer are a run."""
+    orders, k = table(spark, sf, "orders").dropDuplicates(["o_orderkey"]), F.col("o_orderkey")
+    payload = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("priority__evidence"), F.lit("as said"), F.lit("state"), F.when(k % 3 == 0, " Not reported ").otherwise(F.col("o_orderstatus")))
+    return orders.select(F.concat(F.lit("m"), "o_custkey").alias("run_id"), F.concat(F.lit("o"), k).alias("paper_id"), F.when(k % 5 > 0, F.concat(F.lit("Order "), k)).alias("title"), payload.alias("payload"), F.when(k % 4 == 0, F.concat(F.lit("no answer for "), k)).alias("error"))
+
+
+@query("""SELECT 'm' || o_custkey AS run_id, 'o' || o_orderkey AS paper_id, CASE WHEN o_orderkey % 5 > 0 THEN 'Order ' || o_orderkey END AS title, CASE WHEN trim(o_orderpriority) = '' THEN 'not reported' ELSE trim(o_orderpriority) END AS priority, CASE WHEN o_orderkey % 3 = 0 THEN 'not reported' ELSE o_orderstatus END AS state FROM orders WHERE o_orderkey % 4 <> 0""")
+def matrix_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """MTX-2: the rows of each run"""
+    return RP.matrix_rows(matrix_answers(spark, sf), ["priority", "state"])
+
+
+@query("""SELECT 'm' || o_custkey AS run_id, count(*) FILTER (o_orderkey % 4 <> 0) AS n_rows, coalesce(list(CASE WHEN o_orderkey % 5 > 0 THEN 'Order ' || o_orderkey ELSE 'o' || o_orderkey END || ': no answer for ' || o_orderkey ORDER BY 'o' || o_orderkey) FILTER (o_orderkey % 4 = 0), []) AS errors,
+  CASE WHEN count(*) FILTER (o_orderkey % 4 <> 0) > 0 AND count(*) FILTER (o_orderkey % 4 = 0) = 0 THEN 'completed' ELSE 'partial' END AS status FROM orders GROUP BY o_custkey""")
+def matrix_status(spark: SparkSession, sf: str) -> DataFrame:
+    """MTX-2: errors and status of each run"""
+    return RP.matrix_status(matrix_answers(spark, sf))
+
+
+@query(with_views(["runs_v"], """SELECT run_id, intent, CASE WHEN nullif(trim(question), '') IS NOT NULL THEN trim(question) WHEN intent = 'summarize' THEN 'Title ' || duration_ms WHEN intent = 'gap' THEN '1 gap — T' || duration_ms ELSE (duration_ms % 3) || CASE WHEN duration_ms % 3 = 1 THEN ' paper' ELSE ' papers' END END AS label, question, list_transform(range(0, duration_ms % 3), lambda i: 'p') AS paper_ids, status, duration_ms, created_at,
+  CASE WHEN intent = 'qa' THEN 'answer ' || duration_ms END AS answer, CASE WHEN intent = 'summarize' THEN '{"title":"Title ' || duration_ms || '"}' END AS summary, CAST(NULL AS VARCHAR) AS extraction, CASE WHEN intent = 'gap' THEN '[{"title":"T' || duration_ms || '"}]' END AS gaps, CAST(NULL AS VARCHAR) AS graph,
+  CASE WHEN intent = 'qa' THEN '["c' || duration_ms || '"]' ELSE '[]' END AS retrieved, '[]' AS graph_facts, '[]' AS graph_matches, '[]' AS documents, CASE WHEN status = 'partial' THEN ['stopped'] ELSE [] END AS errors FROM runs_v WHERE CAST(run_id[2:] AS BIGINT) % 7 = 0"""))
+def run_details(spark: SparkSession, sf: str) -> DataFrame:
+    """HIS-2: every seventh run is asked for by its owner, every eleventh by another one"""
+    ms, intent = F.col("duration_ms").cast("string"), F.col("intent")
+    result = F.when(intent == "qa", F.concat(F.lit('{"answer":"answer '), ms, F.lit('","retrieved":["c'), ms, F.lit('"]}'))).when(intent == "summarize", F.concat(F.lit('{"summary":{"title":"Title '), ms, F.lit('"}}'))).when(intent == "gap", F.concat(F.lit('{"gaps":[{"title":"T'), ms, F.lit('"}]}')))
+    runs = view(spark, sf, "runs_v").withColumn("result", result).withColumn("paper_ids", F.array_repeat(F.lit("p"), (F.col("duration_ms") % 3).cast("int"))).withColumn("error", F.when(F.col("status") == "partial", "stopped"))
+    number = F.substring("run_id", 2, 20).cast("long")
+    asked = runs.filter(number % 7 == 0).select("run_id", "owner_id").unionByName(runs.filter(number % 11 == 0).select("run_id", F.concat("owner_id", F.lit("x")).alias("owner_id")))
+    return RP.run_details(runs, asked)
+
+
+@query("""WITH c AS (SELECT source AS run_id, row_number() OVER (PARTITION BY source ORDER BY lang) AS place, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)),
+l AS (SELECT run_id, string_agg('- `' || lang || '` — Share of ' || lang || '. ' || CASE WHEN n % 2 = 0 THEN 'Of ' || n || ' texts. ' ELSE '' END || CASE n % 3 WHEN 0 THEN 'Give the figure with its unit.' WHEN 1 THEN 'Give a list of short names.' ELSE 'Answer in a short phrase.' END || chr(10) || '- `' || lang || '__evidence` — the words that support it.', chr(10) ORDER BY place) AS body FROM c GROUP BY 1)
+SELECT run_id, 'd' || doc_id AS paper_id, md5('# ' || CASE WHEN doc_id % 4 = 0 THEN 'd' || doc_id ELSE substr(text, 1, 40) END || chr(10) || chr(10) || '## Columns' || chr(10) || body || chr(10) || chr(10) || '## Text' || chr(10) || text) AS prompt FROM documents JOIN l ON l.run_id = source""")
+def column_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """LLM-5: the columns of a matrix"""
+    docs = table(spark, sf, "documents")
+    per_lang = docs.groupBy(F.col("source").alias("run_id"), "lang").agg(F.count("*").alias("n"))
+    kind = F.element_at(F.array(F.lit("number"), F.lit("LIST"), F.lit("other")), (F.col("n") % 3 + 1).cast("int"))
+    columns = per_lang.select("run_id", F.row_number().over(W.partitionBy("run_id").orderBy("lang")).alias("place"), F.col("lang").alias("key"), F.concat(F.lit("Share of "), "lang").alias("name"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("Of "), F.col("n").cast("string"), F.lit(" texts."))).otherwise(" ").alias("description"), kind.alias("kind"))
+    papers = docs.select(F.col("source").alias("run_id"), F.concat(F.lit("d"), "doc_id").alias("paper_id"), F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 40)).alias("title"), "text")
+    return RP.column_prompts(papers, columns).withColumn("prompt", F.md5(F.col("prompt").cast("binary")))
+
+
+@query(f"""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), q AS (SELECT c.conv_id, any_value(text) AS question FROM conversations c JOIN l ON l.conv_id = c.conv_id AND turn = last GROUP BY 1),
+b AS (SELECT c.conv_id, string_agg(CASE WHEN role = 'user' THEN 'Researcher: ' ELSE 'You: ' END || trim(text, {D_PLANS.WS}), chr(10) || chr(10) ORDER BY turn) AS before FROM conversations c JOIN l ON l.conv_id = c.conv_id AND turn < last WHERE trim(text, {D_PLANS.WS}) <> '' GROUP BY 1)
+SELECT conv_id AS question_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN conv_id % 3 > 0 THEN '## Context' || chr(10) || 'about ' || conv_id END, CASE WHEN conv_id % 4 = 0 THEN '## Relationships' || chr(10) || '[G1] fact ' || conv_id END, '## Earlier' || chr(10) || before, '## Question' || chr(10) || question)) AS prompt FROM q LEFT JOIN b USING (conv_id)""")
+def question_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """LLM-5: the last turn of each conversation after the ones before it"""
+    turns = table(spark, sf, "conversations").withColumnRenamed("conv_id", "question_id")
+    last = turns.groupBy("question_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("_last"))
+    i = F.col("question_id")
+    asked = last.select("question_id", "question", F.when(i % 3 > 0, F.concat(F.lit("about "), i.cast("string"))).otherwise(" ").alias("context"), F.when(i % 4 == 0, F.concat(F.lit("[G1] fact "), i.cast("string"))).alias("graph_context"))
+    before = turns.join(last.select("question_id", "_last"), "question_id").filter("turn < _last").select("question_id", "turn", "role", F.col("text").alias("content"))
+    return RP.question_prompts(asked, before).withColumn("prompt", F.md5(F.col("prompt").cast("binary")))
+
+
 # --- streams ---
 
 
