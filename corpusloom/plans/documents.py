@@ -84,13 +84,13 @@ def chunk_lateral(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT doc_id, c.* FROM {documents}, LATERAL split_text(text, 1200, 200) c", documents=table(spark, sf, "documents"))
 
 
-@query()
+@query("SELECT url AS paper_id, page_id AS page_no, html AS text, strlen(html) % 100 / 100 AS confidence FROM pages")
 def recognise_pages(spark: SparkSession, sf: str) -> DataFrame:
     """UDF-3, STA-6: raw pages as images, a stand-in for an engine, a cache that knows every second page."""
     html = F.encode("html", "utf-8")
     pages = table(spark, sf, "pages").select(F.col("url").alias("paper_id"), F.col("page_id").alias("page_no"), html.alias("image"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     none = spark.createDataFrame([], "key string, text string, confidence double")
-    engine = lambda image, w, h: (image.decode("utf-8", "replace")[:100], 0.9)
+    engine = lambda image, w, h: (image.decode("utf-8", "replace"), len(image) % 100 / 100)
     _, known = D.recognise(pages.filter("page_no % 2 = 0"), none, engine, "stub")
     return D.recognise(pages, known, engine, "stub")[0].select("paper_id", "page_no", "text", "confidence")
 

@@ -224,7 +224,13 @@ def lbd_closed(spark: SparkSession, sf: str) -> DataFrame:
     return X.closed_discovery(pairs, *entities(spark, sf)).drop("a_papers", "c_papers")
 
 
-@query()
+@query(with_views(KG, SOURCES + """, g AS (SELECT DISTINCT a, b, c FROM abc JOIN pr USING (a, c) WHERE NOT linked AND NOT shares), f AS (SELECT a, c, round(sum(w), 6) AS score, count(*) AS support FROM g JOIN dg ON dg.id = b GROUP BY ALL),
+best AS (SELECT * FROM (SELECT a, c, score, support, row_number() OVER (PARTITION BY a ORDER BY score DESC, support DESC, en.name, c) AS place FROM f JOIN en ON en.id = c) WHERE place <= 25),
+lk AS (SELECT best.a, best.c, b.id AS b, w, x.type AS ab, y.type AS bc, list_sort(x.papers) AS ap, list_sort(y.papers) AS cp FROM best JOIN adj x ON x.id = best.a JOIN adj y ON y.id = x.other AND y.other = best.c JOIN dg b ON b.id = x.other WHERE x.other <> best.a AND x.other <> best.c),
+ln AS (SELECT lk.a, lk.c, row_number() OVER (PARTITION BY lk.a, lk.c ORDER BY w DESC, b, ab, bc, ap, cp) AS i, ea.name || ' —' || lower(replace(ab, '_', ' ')) || '→ ' || eb.name || ' —' || lower(replace(bc, '_', ' ')) || '→ ' || ec.name AS line FROM lk JOIN en ea ON ea.id = lk.a JOIN en eb ON eb.id = b JOIN en ec ON ec.id = lk.c),
+tx AS (SELECT a, c, string_agg(line, chr(10) ORDER BY i) AS chain_text FROM ln WHERE i <= 5 GROUP BY ALL), pp AS (SELECT a, c, list_sort(list_distinct(flatten(list(list_concat(ap, cp))))) AS paper_ids FROM lk GROUP BY ALL),
+v AS (SELECT *, CASE place % 4 WHEN 0 THEN 'promising' WHEN 1 THEN 'trivial' ELSE 'plausible' END AS verdict FROM best)
+SELECT a, c, verdict, score, CAST(row_number() OVER (PARTITION BY a ORDER BY CASE verdict WHEN 'promising' THEN 0 WHEN 'plausible' THEN 1 ELSE 2 END, score DESC, c) AS INT) AS place, paper_ids, chain_text FROM v JOIN pp USING (a, c) JOIN tx USING (a, c)"""))
 def lbd_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-26, GRF-27"""
     found = cut(X.open_discovery(sources(spark, sf), *entities(spark, sf)), "found")
@@ -274,7 +280,13 @@ def link_entities(spark: SparkSession, sf: str) -> DataFrame:
     return X.link_entities(questions(spark, sf), kg(spark, sf)[0], "question_id", "question")
 
 
-@query()
+@query(with_views(KG, f""", qs AS (SELECT doc_id AS question_id, {QUESTION.replace(LPAD, LPAD_SQL)} AS t, doc_id % 200 + 1 AS k, doc_id % 20 * 10 AS z FROM documents WHERE doc_id % 100 = 0),
+fn AS (SELECT * FROM kg_nodes_v WHERE type NOT IN ('Paper', 'Figure', 'Author')), src AS (SELECT 'q' || question_id AS id, t FROM qs UNION ALL SELECT 'n' || id, name FROM fn), {D_PLANS.TERMS},
+e AS (SELECT id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS weight FROM s), p AS (SELECT CAST(a.id[2:] AS BIGINT) AS question_id, b.id[2:] AS id, round(sum(a.weight * b.weight), 6) AS score FROM e a JOIN e b ON a.bucket = b.bucket AND a.id[1] = 'q' AND b.id[1] = 'n' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS i FROM p),
+m AS (SELECT question_id, n.id, n.name, n.type, 0.85::DOUBLE AS confidence, CASE WHEN k % 10 = 0 THEN 'alias' ELSE 'exact' END AS method FROM qs JOIN kg_nodes_v n ON n.id = 'p:' || k UNION ALL SELECT question_id, n.id, n.name, n.type, 0.8::DOUBLE, 'alias' FROM qs JOIN kg_nodes_v n ON n.id = 'p:' || z WHERE z <> k AND length('P' || z) >= 3),
+x AS (SELECT * FROM m UNION ALL SELECT question_id, id, name, type, round(score, 3), 'embedding' FROM r JOIN fn USING (id) WHERE i <= 6 AND score >= 0.55 AND NOT EXISTS (SELECT 1 FROM m WHERE m.question_id = r.question_id AND m.id = r.id))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, id) AS INT) AS place FROM x) WHERE place <= 6"""))
 def link_entities_similar(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-22 with hashed vectors of names for the places that literal matches leave."""
     nodes = kg(spark, sf)[0].filter(~F.col("type").isin(G.NON_FACTUAL))
@@ -328,7 +340,10 @@ def packed_facts(spark: SparkSession, sf: str, budget: int) -> DataFrame:
     return V.pack_blocks(facts_of(spark, sf).withColumn("line", order_line()), "question_id", "place", "line", budget, "\n")
 
 
-@query()
+@query(with_views(KG, ADJ + FACTS + f""", src AS (SELECT 'q' || doc_id AS id, {QUESTION.replace(LPAD, LPAD_SQL)} AS t FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT 'd' || doc_id, text FROM documents), {D_PLANS.TERMS},
+nh AS (SELECT CAST(a.id[2:] AS BIGINT) AS question_id, least(8, count(DISTINCT b.id)) AS n_passages FROM s a JOIN s b ON a.bucket = b.bucket AND a.id[1] = 'q' AND b.id[1] = 'd' GROUP BY 1),
+ns AS (SELECT question_id, count(*) AS n_seeds FROM (SELECT question_id FROM q JOIN kg_nodes_v n ON n.id = 'p:' || k UNION ALL SELECT question_id FROM q JOIN kg_nodes_v n ON n.id = 'p:' || z WHERE z <> k AND length('P' || z) >= 3) GROUP BY 1), nf AS (SELECT question_id, count(*) AS n_facts FROM fx GROUP BY 1)
+SELECT question_id, coalesce(n_seeds, 0) AS n_seeds, coalesce(n_facts, 0) AS n_facts, CASE WHEN n_seeds IS NULL THEN 'no entity was named' WHEN n_facts IS NULL THEN 'the entities are isolated' END AS reason, n_passages FROM q LEFT JOIN ns USING (question_id) LEFT JOIN nf USING (question_id) LEFT JOIN nh USING (question_id)"""))
 def graph_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-25, RET-8: both kinds of context side by side."""
     nodes, edges = kg(spark, sf)
@@ -360,7 +375,8 @@ def hybrid_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
-@query()
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT 'paper:o' || k AS source, 'figure:' || k || '-' || n AS target, 'CONTAINS' AS type, ['o' || k] AS papers FROM lineitem JOIN a ON k = l_orderkey AND n = l_linenumber AND p = l_partkey UNION ALL SELECT 'figure:' || k || '-' || n, 'entity:part ' || p, 'EVALUATED_ON', ['o' || k] FROM a""")
 def figure_edges(spark: SparkSession, sf: str) -> DataFrame:
     """GRF-7: a figure per order line that names its part and its supplier."""
     ent, rel, papers = fragments(spark, sf)

@@ -83,7 +83,7 @@ def parse_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"), F.col("x").isNull().alias("failed"))
 
 
-@query()
+@query("""SELECT doc_id, sha256('{"model":"m","prompt":' || to_json(text)::VARCHAR || ',"system":' || to_json(lang)::VARCHAR || ',"temperature":"0.2000"}') AS key FROM documents""")
 def request_keys(spark: SparkSession, sf: str) -> DataFrame:
     """LLM-2"""
     docs = table(spark, sf, "documents")
@@ -100,6 +100,14 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
 
 
+@query(with_views(["cache_v"], ", r AS (SELECT sha256(props) AS key, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT key, created_at, hit_count + coalesce(n, 0) AS hit_count FROM cache_v LEFT JOIN r USING (key)"))
+def cache_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """LLM-3: hit counts raised by the requests that the cache answers"""
+    asked = table(spark, sf, "events").filter("event_type = 'view'").select(F.sha2("props", 256).alias("key"))
+    cache = view(spark, sf, "cache_v")
+    return R.count_hits(cache, R.cached(asked, cache, F.lit("1970-01-01").cast("timestamp"))[0].select("key"))
+
+
 @query(with_views(["cache_v"], ", now AS (SELECT max(ts) AS t FROM events) SELECT key, hit_count FROM cache_v, now WHERE created_at >= t - INTERVAL 30 DAY"))
 def cache_purge(spark: SparkSession, sf: str) -> DataFrame:
     """LLM-3"""
@@ -113,7 +121,7 @@ def cache_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.cache_summary(view(spark, sf, "cache_v"))
 
 
-@query()
+@query("""SELECT sha256(text) AS key, doc_id, CASE WHEN length(text) % 7 > 0 THEN length(text) || ' characters' END AS response, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM documents""")
 def ask_model(spark: SparkSession, sf: str) -> DataFrame:
     """LLM-4: a deterministic stand-in for a model that fails on some prompts."""
 
@@ -573,6 +581,53 @@ def load_table(spark: SparkSession, sf: str) -> DataFrame:
     return S.load(spark, sf, "documents.parquet").filter("n_chars > 1000").select("doc_id", "text")
 
 
+# --- sources and sinks, written and read back ---
+
+
+@query("""SELECT reason, count(*) AS files, sum(n) AS n_bytes FROM (SELECT source, sum(strlen(text) + 1) + CASE WHEN regexp_extract(source, '[0-9]+')::INT % 3 > 0 THEN 6 ELSE 0 END AS n, CASE WHEN sum(strlen(text) + 1) + 6 > 150000 AND regexp_extract(source, '[0-9]+')::INT % 3 > 0 OR sum(strlen(text) + 1) > 150000 THEN 'too large' WHEN regexp_extract(source, '[0-9]+')::INT % 3 = 0 THEN 'wrong type' END AS reason FROM documents GROUP BY source) GROUP BY reason""")
+def source_binaries(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1: a file for each source, two in three of which begin with the mark of their type"""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    marked = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 3 > 0
+    marks = docs.select("source").distinct().filter(marked).select("source", F.lit(-1).cast("long").alias("doc_id"), F.lit("%PDF-").alias("text"))
+    path = new_folder(spark, "binaries")
+    lines = docs.unionByName(marks).repartition("source").sortWithinPartitions("source", "doc_id")
+    lines.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    return S.scan_binaries(spark, path, 150_000 / 1024 / 1024).groupBy("reason").agg(F.count("*").alias("files"), F.sum("length").cast("decimal(38,0)").alias("n_bytes"))
+
+
+@query("""SELECT 'Order ' || o_orderkey || ' of "' || o_orderstatus || '", late' AS Paper, o_orderpriority AS "Priority, stated", 'a' || o_custkey || '; b' || o_orderkey AS Names FROM orders""")
+def sink_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1: a matrix as a file of comma-separated lines with lists and quotes"""
+    orders = table(spark, sf, "orders").dropDuplicates(["o_orderkey"])
+    paper = F.concat(F.lit("o"), "o_orderkey").alias("paper_id")
+    titles = orders.select(paper, F.concat(F.lit("Order "), "o_orderkey", F.lit(' of "'), "o_orderstatus", F.lit('", late')).alias("title"))
+    matrix = orders.select(paper, F.col("o_orderpriority").alias("priority"), F.array(F.concat(F.lit("a"), "o_custkey"), F.concat(F.lit("b"), "o_orderkey")).alias("names"))
+    path = new_folder(spark, "matrix")
+    S.matrix_to_csv(matrix, titles, [("priority", "Priority, stated"), ("names", "Names")], path)
+    return spark.read.option("header", "true").option("escape", "\\").csv(path)
+
+
+@query(P + """, c AS (SELECT paper_id, d, year, (d % 50) || ', A., & Writer' || (d % 9) || ', A. B. (' || year || '). T' || d || '.' || CASE WHEN venue IS NULL THEN '' ELSE ' *' || venue || '*.' END || CASE WHEN doi IS NULL THEN '' ELSE ' https://doi.org/' || doi END AS value FROM q)
+SELECT row_number() OVER (ORDER BY (d % 50)::VARCHAR, year, paper_id) AS line_no, value FROM c""")
+def sink_bibliography(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-2: a bibliography's lines in the order of its files"""
+    path = new_folder(spark, "bibliography")
+    S.write_bibliography(view(spark, sf, "papers_v").withColumn("title", F.concat(F.lit("T"), F.substring("paper_id", 2, 20))), "apa", path)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).filter("value <> ''")
+    return lines.withColumn("line_no", F.row_number().over(W.orderBy(F.regexp_extract("file", r"part-(\d+)", 1), "at")).cast("long")).select("line_no", "value")
+
+
+@query(with_views(["runs_v"], "SELECT status, sum(n) AS n FROM (SELECT CASE WHEN duration_ms % 5 = 0 THEN 'failed' WHEN duration_ms % 2 = 0 THEN 'partial' ELSE 'completed' END AS status, CASE WHEN duration_ms % 3 = 0 THEN 2 ELSE 1 END AS n FROM runs_v) GROUP BY status"))
+def sink_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-4: all runs are appended, then a third of them once more"""
+    runs = view(spark, sf, "runs_v").select("run_id", "duration_ms", F.when(F.col("duration_ms") % 5 == 0, "x").alias("error"), F.when(F.col("duration_ms") % 2 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    path = new_folder(spark, "runs")
+    S.append_runs(runs, path)
+    S.append_runs(runs.filter("duration_ms % 3 = 0"), path)
+    return spark.read.parquet(path).groupBy("status").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+
+
 # --- sections, details, prompts ---
 
 #: A run for each source: its documents are gaps, themes and papers; every value comes from the rows.

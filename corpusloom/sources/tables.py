@@ -24,7 +24,7 @@ def scan_binaries(spark: SparkSession, path: str, max_mb: float = 50, magic: byt
     empty = []
     while listing.hasNext():
         status = listing.next()
-        if status.getLen() == 0:
+        if status.getLen() == 0 and status.getPath().getName()[0] not in "_.":  # Spark reads no hidden files either
             empty.append((status.getPath().getName(), 0, "empty file", None, None))
     return out.unionByName(spark.createDataFrame(empty, out.schema)) if empty else out
 
