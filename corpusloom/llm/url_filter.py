@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rules as host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+BROADCAST_RULES = 10_000
 PREFIX_DIGITS = 8  # of a digest, met by the join; the rest is compared afterwards
 
 
@@ -53,23 +54,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     are; an empty table gives an empty result; other columns are ignored.
 
     Each url is expanded into expressions that meet the rules on a short prefix of a digest; the
-    full digest and the whole path are then compared. No rule can fit an expression with more labels
+    full digest and the whole path are then compared. Up to ``BROADCAST_RULES`` rules (counted) go to all tasks, more
+    are joined by shuffle. No rule can fit an expression with more labels
     or slashes than any rule has, so a url of any length gives few. What fits is reduced per row as a
     maximum, partly before the shuffle, so that a host with most pages is no burden.
     """
     digest = lambda x: F.sha2(x, 256)
     host, path = url_parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    deep = rules.agg(F.max(how_many(F.col("host"), ".") + 1).alias("labels"), F.max(how_many(F.col("path"), "/")).alias("slashes")).first()
+    deep = rules.agg(F.max(how_many(F.col("host"), ".") + 1).alias("labels"), F.max(how_many(F.col("path"), "/")).alias("slashes"), F.count("*").alias("n")).first()
     own = F.array_distinct(expressions(F.col("host"), F.col("path"), deep["labels"] or 1, deep["slashes"] or 0))
-    keyed = base.select("*", F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("_x")).withColumn("_digest", digest(F.col("_x"))).drop("_x")  # the null stands for the row
+    keyed = base.select("*", F.explode(own).alias("_x")).withColumn("_digest", digest(F.col("_x"))).drop("_x")
     keyed = keyed.withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
     known = rules.select(lower_ascii(F.col("host")).alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
     known = known.withColumn("_full", digest(F.concat("_host", F.lit("\n"), directory(F.col("_path"))))).withColumn("_prefix", F.substring("_full", 1, PREFIX_DIGITS))
-    met = keyed.join(known, "_prefix", "left")
-    fits = (F.col("_digest") == F.col("_full")) & F.col("path").startswith(F.col("_path"))
-    fit = F.when(fits, F.struct((F.length("_host") + F.length("_path")).alias("n"), F.length("_host").alias("h"), F.col("_verdict").alias("verdict"), F.concat("_host", "_path").alias("rule")))
-    per_page = met.groupBy("page_id", "host", "path").agg(F.max(fit).alias("_fit"), F.count_if(F.col("_digest").isNull()).alias("_rows"))
+    met = keyed.join(F.broadcast(known) if deep["n"] <= BROADCAST_RULES else known, "_prefix")
+    fit = F.struct((F.length("_host") + F.length("_path")).alias("n"), F.length("_host").alias("h"), F.col("_verdict").alias("verdict"), F.concat("_host", "_path").alias("rule"))
+    met = met.filter((F.col("_digest") == F.col("_full")) & F.col("path").startswith(F.col("_path"))).select("page_id", "host", "path", fit.alias("_fit"), F.lit(0).alias("_row"))
+    every = base.select("page_id", "host", "path", F.lit(None).cast(met.schema["_fit"].dataType).alias("_fit"), F.lit(1).alias("_row")).unionByName(met)
+    per_page = every.groupBy("page_id", "host", "path").agg(F.max("_fit").alias("_fit"), F.sum("_row").alias("_rows"))
     once = F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))).alias("_copy")
     return per_page.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", F.lit(default)).alias("verdict"), once).drop("_copy")
 

@@ -44,7 +44,7 @@ def judge(url):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-def test_rules_against_brute_force(spark):
+def test_rules_against_brute_force(spark, monkeypatch):
     urls = [
         None, "", "no scheme", "http://", "http://EXAMPLE.Net/en/a", "http://example.net/en", "http://www.example.net/de/", "http://net", "http://xnet/", "http://a.net?q=/en/", "http://a.org/xyz", "http://a.org/xy/z",
         "http://A.ORG/x#frag", "http://w.b.org", "http://b.org/" + "d/" * 300, "https://c.org/?u=http://b.org/", "http://..net//", "http://a.org/x\ny", "http://Ünet.net/", "http://" + "l." * 400 + "net/" + "s/" * 20_000, "http://" + "x." * 400 + "a.org/xy/" + "p/" * 400, "http://b.org", "http://b.org", "http://a.org/xx", "http://A.B.ORG/",
@@ -53,6 +53,8 @@ def test_rules_against_brute_force(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, rules).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, rules).collect()} == got
     twice = url_filter.filter_urls(df.union(df), rules)
     assert twice.count() == 2 * len(urls)
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
