@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -228,6 +229,12 @@ def calibrate(z: np.ndarray, y: np.ndarray, clean_weighs: float = 4.0) -> tuple[
     return 1.0, -float((best[0] + best[-1]) / 2)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can; else the driver keeps what training took."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
     """A network for the labelled documents: at most ``most`` toxic and three times as many clean ones, chosen by a hash of the id,
     and of each at most ``SAMPLE_WORDS`` words. An id that repeats counts once; one with both labels is left out."""
@@ -240,7 +247,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = DOCS, id_col: s
     rows = fetch_sample(docs, [(i,) for i in label], [id_col], text_col)
     order = np.random.default_rng(1).permutation(len(rows))
     rows = [rows[i] for i in order]
-    return train([r[1] for r in rows], [label[r[0]] for r in rows]) if len({label[r[0]] for r in rows}) == 2 else None
+    net = train([r[1] for r in rows], [label[r[0]] for r in rows]) if len({label[r[0]] for r in rows}) == 2 else None
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
