@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.storage import cut
+from corpusloom.storage import cut, scratch
 
 # Closed vocabularies.
 ENTITY_TYPES = ["Concept", "Method", "Dataset", "Metric", "Task", "Tool", "Model", "Author"]
@@ -143,7 +143,7 @@ def min_degree(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFram
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """GRF-11: nodes within ``depth`` steps of the start (``id``), with their distance, and the edges between them."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = cut(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "both")
     seen = frontier = start.select("id").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
         reached = both.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
@@ -158,27 +158,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     By contraction: each node hooks on to its neighbour with the smallest hash, if that is below its own, and
     on to what that one hooks on to; links between what is left, without loops and repeats, are the next
-    round's. So the tables shrink by a factor each round, whatever the shape, and are all that is written.
+    round's. So the tables shrink by a factor each round, whatever the shape; they are deleted at the end.
     """
-    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, steps = cut(links, "links"), []
-    while not links.isEmpty():
-        rank = lambda c: F.xxhash64(c, F.lit(len(steps)))  # noqa: B023, E731
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), "b")).alias("m"))
-        hook = cut(least.select("a", F.when(F.col("m.h") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("p")), "hooks")
-        step = cut(hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("to")), "p").select("a", "to"), "step")
-        steps.append(step)
-        moved = links.join(step.select("a", F.col("to").alias("u")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("v")), "b")
-        links = cut(moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-    if not steps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = steps.pop()
-    while steps:
-        found = steps.pop().join(found.select(F.col("a").alias("to"), F.col("to").alias("last")), "to", "left").select("a", F.coalesce("last", "to").alias("to"))
-    found = cut(found, "found")
-    smallest = cut(found.groupBy("to").agg(F.min("a").alias("root")), "roots")
-    return found.join(smallest, "to").select(F.col("a").alias("node"), "root")
+    with scratch(edges.sparkSession, "components") as keep:
+        links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links, steps = cut(links, "links"), []
+        while not links.isEmpty():
+            rank = lambda c: F.xxhash64(c, F.lit(len(steps)))  # noqa: B023, E731
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), "b")).alias("m"))
+            hook = cut(least.select("a", F.when(F.col("m.h") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("p")), "hooks")
+            step = cut(hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("to")), "p").select("a", "to"), "step")
+            steps.append(step)
+            moved = links.join(step.select("a", F.col("to").alias("u")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("v")), "b")
+            links = cut(moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+        if not steps:
+            return keep(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+        found = steps.pop()
+        while steps:
+            found = steps.pop().join(found.select(F.col("a").alias("to"), F.col("to").alias("last")), "to", "left").select("a", F.coalesce("last", "to").alias("to"))
+        found = cut(found, "found")
+        smallest = cut(found.groupBy("to").agg(F.min("a").alias("root")), "roots")
+        return keep(found.join(smallest, "to").select(F.col("a").alias("node"), "root"), "components")
 
 
 def surface_forms(nodes: DataFrame, least: int = 2) -> DataFrame:
@@ -190,7 +191,7 @@ def resolve_entities(nodes: DataFrame) -> DataFrame:
     """GRF-12: ``id`` and ``canonical``: nodes that share a surface form are one entity, named by the node with most papers, then by id."""
     forms = cut(surface_forms(nodes), "forms")
     first = forms.groupBy("form").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    linked = cut(components(forms.join(first, "form").select(F.col("id").alias("a"), "b").filter("a <> b")), "linked")
+    linked = components(forms.join(first, "form").select(F.col("id").alias("a"), "b").filter("a <> b"))
     sized = linked.join(nodes.select(F.col("id").alias("node"), F.coalesce(F.size("papers"), F.lit(0)).alias("n")), "node")
     best = sized.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "node"))["node"].alias("canonical"))
     alias = cut(linked.join(best, "root").select(F.col("node").alias("id"), "canonical"), "alias")
