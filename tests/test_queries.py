@@ -15,6 +15,8 @@ from corpusloom.plans.views import TABLES
 SF = "/root/testdata/sf0.001"
 #: Slow to compile and covered by others of their kind.
 SLOW = {"kg_fold_edges", "lbd_hypotheses", "graph_context", "graph_retrieval", "lbd_closed", "lbd_resolve", "kg_canonical_edges", "kg_degree"}
+#: Sessions that end within the data need not occur in the smallest tables.
+MAY_BE_EMPTY = {"stream_stale_jobs"}
 
 
 def plain(v):
@@ -41,7 +43,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in ALL_ORACLE:
-        assert columns
+        assert columns and (rows or name in MAY_BE_EMPTY)
         return
     found = duck.execute(ALL_ORACLE[name])
     names = [d[0] for d in found.description]
