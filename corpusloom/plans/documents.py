@@ -53,7 +53,10 @@ def doc_front_matter(spark: SparkSession, sf: str) -> DataFrame:
     return meta.select("doc_id", "title", "authors", "keywords")
 
 
-@query()
+@query(f"""WITH f AS (SELECT doc_id, substr({FRONT}, 1, 20000) AS t FROM documents), s AS (SELECT doc_id, regexp_extract(t, '(?is)abstract\\b[\\s\\x0B:.\\-—]*(.*)$', 1) AS s FROM f),
+e AS (SELECT doc_id, s, regexp_extract(substr(s, 81), '(?is)^(.*?)(\\n\\s*(\\d+\\.?\\s*)?(introduction|keywords|index terms|categories and subject)\\b|\\n\\s*\\n\\s*\\n)', ['a', 'b']) AS m FROM s),
+a AS (SELECT doc_id, CASE WHEN m.b <> '' AND length(m.a) <= 3920 THEN substr(s, 1, 80) || m.a WHEN length(s) >= 80 THEN substr(s, 1, 2500) END AS a FROM e)
+SELECT doc_id, nullif(trim(regexp_replace(a, '[\\s\\x0B]+', ' ', 'g'), ' -—·|'), '') AS abstract FROM a""")
 def doc_abstract(spark: SparkSession, sf: str) -> DataFrame:
     return front(spark, sf).select("doc_id", T.abstract(F.substring("t", 1, 20000)).alias("abstract"))
 
