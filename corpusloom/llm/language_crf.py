@@ -121,8 +121,8 @@ def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 6) ->
 
 
 def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = DOCS) -> Crf | None:
-    """A model of the given rows: at most ``most`` documents per language, chosen by a hash of the id, and of each
-    at most ``SAMPLE_WORDS`` words. An id that repeats counts once in each of its languages."""
+    """A model of the given rows: at most ``most`` documents per language, chosen by a hash of the id, and at most
+    twice as many windows of their whole texts (``fetch_sample``). An id that repeats counts once in each of its languages."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     ids = bounded_sample(labelled, "_id", "_lang", most)
     if not ids:

@@ -237,7 +237,7 @@ def give_back() -> None:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
     """A network for the labelled documents: at most ``most`` toxic and three times as many clean ones, chosen by a hash of the id,
-    and of each at most ``SAMPLE_WORDS`` words. An id that repeats counts once; one with both labels is left out."""
+    and at most twice as many windows of their whole texts (``fetch_sample``). An id that repeats counts once; one with both labels is left out."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_label"))
     ids = bounded_sample(known.filter("_label = 1"), "_id", "_label", most) + bounded_sample(known.filter("_label = 0"), "_id", "_label", 3 * most)
     both = set(ids)

@@ -10,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a document that a model learns from; of longer ones so many in stretches from all over the text.
-SAMPLE_WORDS = 8192
+from corpusloom.storage import cut, scratch
+
+#: A labelled row to learn from is a window of WINDOW_WORDS words of a sampled text; there are at most WINDOWS times as many as texts.
+WINDOW_WORDS, WINDOWS = 512, 2
 #: Punctuation that is cut from the ends of words.
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$@/\\+=_~`^-–—…«»„“”‘’¿¡"
 
@@ -92,37 +94,61 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def stretches(texts: pa.Array, most: int, stretch: int = 512) -> pa.Array:
-    """Texts of more than ``most`` words cut to stretches of words that lie evenly over the whole text."""
-    out = texts.to_pylist()
-    for i, text in enumerate(out):
-        if text is not None and len(text) > most and len(words := text.split()) > most:
-            parts = most // stretch
-            starts = [k * (len(words) - stretch) // (parts - 1) for k in range(parts)]
-            out[i] = " ".join(w for s in starts for w in words[s : s + stretch])
-    return pa.array(out, pa.string())
+def labelled_windows(texts: DataFrame, names: list[str], text_col: str, words: int = WINDOW_WORDS) -> DataFrame:
+    """The windows of whole texts, side by side: ``names``, ``rank``, ``place``, ``piece``.
 
+    A text of at most ``words`` words is its own window. ``rank`` orders the windows of a text by a
+    hash of their places, so that the first few ranks lie all over it.
+    """
+    kinds = dict(texts.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
 
-def fetch_sample(docs: DataFrame, keys: list[tuple], columns: list[str], text_col: str, most_words: int = SAMPLE_WORDS) -> list[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, len(names)):
+                row, rank, place, piece = [], [], [], []
+                for i, text in enumerate(part.column(len(names)).to_pylist()):
+                    own = (text or "").split()
+                    n = max(1, -(-len(own) // words))
+                    order = np.argsort(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+                    ranks = np.empty(n, np.int64)
+                    ranks[order] = np.arange(n)
+                    row += [i] * n
+                    rank += ranks.tolist()
+                    place += range(n)
+                    piece += [text or ""] if n == 1 else [" ".join(own[k * words : (k + 1) * words]) for k in range(n)]
+                keys = [part.column(k).take(pa.array(row, pa.int64())) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(rank, pa.int64()), pa.array(place, pa.int64()), pa.array(piece, pa.string())], names=[*names, "rank", "place", "piece"])
+
+    return texts.select(*names, text_col).mapInArrow(run, f"{schema}, rank long, place long, piece string")
+
+
+def fetch_sample(docs: DataFrame, keys: list[tuple], columns: list[str], text_col: str, windows: int = WINDOWS) -> list[tuple]:
     """One text for each of ``keys`` (values of ``columns``, an id first) that ``docs`` has, ordered: what a model learns from.
 
-    Of rows that repeat a key the text with the smallest hash is taken; of a text with more than
-    ``most_words`` words evenly spread stretches. So the driver gets ``len(keys)`` texts of bounded
-    length, however often an id repeats.
+    Of rows that repeat a key the text with the smallest hash is taken. Labelled rows are windows of
+    these texts: all of them, or, where there are more than ``windows`` times the number of keys, those
+    of the first ranks, the same number of ranks for each text. So the driver gets at most
+    ``windows * len(keys)`` windows, however often an id repeats and however long its text.
     """
     names = [f"_{i}" for i in range(len(columns))]
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, columns, strict=True))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(keys)), schema))  # as many rows as the sample
+    spark, keys = docs.sparkSession, sorted(set(keys))
+    chosen = F.broadcast(spark.createDataFrame(keys, ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, columns, strict=True))))  # as many rows as the sample
     own = docs.select(*(F.col(c).alias(n) for n, c in zip(names, columns, strict=True)), F.col(text_col).alias("_text")).join(chosen, names, "left_semi")
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stretches(batch.column(batch.num_columns - 1), most_words)], names=batch.schema.names)
-
-    short = own.mapInArrow(shorten, f"{schema}, _text string")
-    one = short.groupBy(*names).agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
-    return sorted((*r[:-1], r[-1] or "") for r in one.collect())
+    one = own.groupBy(*names).agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+    with scratch(spark, "labelled"):
+        pieces, most = cut(labelled_windows(one, names, "_text"), "windows"), max(1, windows) * len(keys)
+        held, ranks = 0, 0
+        for r in pieces.groupBy("rank").count().orderBy("rank").limit(most).collect():  # each rank has a window, so no more are needed
+            held += r["count"]
+            if held > most:
+                break
+            ranks += 1
+        parts: dict[tuple, list] = {}
+        for r in pieces.filter(F.col("rank") < ranks).collect():
+            parts.setdefault(tuple(r)[:-3], []).append((r["place"], r["piece"]))
+    return sorted((*k, " ".join(x for _, x in sorted(v))) for k, v in parts.items())
 
 
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> list[tuple[int, object]]:

@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from corpusloom.llm import language_crf as crf
 from corpusloom.llm import toxicity as tox
-from corpusloom.llm.wordfeatures import bounded_sample, fetch_sample, ngrams, split_words
+from corpusloom.llm.wordfeatures import bounded_sample, fetch_sample, labelled_windows, ngrams, split_words
 from tests.llm.cases import documents, empty
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "ra"], "bb": ["schu", "berg", "lich", "ung"], "cc": ["eau", "oir", "que", "tre"]}
@@ -147,12 +147,23 @@ def test_forward_pass_word_by_word():
 
 def test_an_id_that_repeats_is_one_document_to_learn_from(spark):
     """A third of all rows under one id: the sample stays as small as the list of ids."""
-    rows = [(7, f"text {i} " * 40, "en") for i in range(500)] + [(i, "w " * 20_000 if i == 8 else f"other {i}", "de") for i in range(8, 40)] + [(9, None, "de")]
+    rows = [(7, f"text {i} " * 40, "en") for i in range(500)] + [(i, "w " * 20_480 if i == 8 else f"other {i}", "de") for i in range(8, 40)] + [(9, None, "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(bounded_sample(df, "doc_id", "lang", 100)) == [(7, "en"), *((i, "de") for i in range(8, 40))]
-    got = fetch_sample(df, [(7, "en"), (8, "de"), (9, "de"), (99, "de")], ["doc_id", "lang"], "text", most_words=1024)
-    again = fetch_sample(df.repartition(5), [(7, "en"), (8, "de"), (9, "de"), (99, "de")], ["doc_id", "lang"], "text", most_words=1024)
-    assert [r[:2] for r in got] == [(7, "en"), (8, "de"), (9, "de")] and got == again and len(got[1][2].split()) == 1024
+    keys = [(7, "en"), (8, "de"), (9, "de"), (99, "de")]
+    got, again = (fetch_sample(x, keys, ["doc_id", "lang"], "text", 2) for x in (df, df.repartition(5)))
+    assert [r[:2] for r in got] == [(7, "en"), (8, "de"), (9, "de")] and got == again
+    assert [len(r[2].split()) for r in got] == [80, 6 * 512, 0]  # eight windows: one each of two texts, six of the long one
+    assert fetch_sample(df, keys, ["doc_id", "lang"], "text", 100)[1] == (8, "de", " ".join(["w"] * 20_480))
+
+
+def test_windows_of_labelled_texts_hold_every_word(spark):
+    texts = [(1, " ".join(f"w{i}" for i in range(5001))), (2, "a  b\nc"), (3, None), (4, "")]
+    rows = labelled_windows(spark.createDataFrame(texts, "k long, t string"), ["k"], "t", 100).collect()
+    own = {k: sorted((r for r in rows if r["k"] == k), key=lambda r: r["place"]) for k, _ in texts}
+    assert " ".join(r["piece"] for r in own[1]) == texts[0][1] and sorted(r["rank"] for r in own[1]) == list(range(51))
+    assert sorted(r["place"] for r in own[1] if r["rank"] < 5)[-1] > 25  # the first ranks are no prefix
+    assert [[tuple(r)[1:] for r in own[k]] for k in (2, 3, 4)] == [[(0, 0, "a  b\nc")], [(0, 0, "")], [(0, 0, "")]]
 
 
 def test_repeated_rows_are_scored_alike(spark):
