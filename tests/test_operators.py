@@ -64,6 +64,12 @@ def test_names_and_keys(spark):
     assert one(spark, T.latex(F.col("v")), v=r"a&b_c~d^e") == r"a\&b\_c\textasciitilde{}d\textasciicircum{}e"
 
 
+@pytest.mark.parametrize(("length", "rest", "found"), [(79, "", None), (80, "", 80), (79, "\n1 Introduction\nmore", 99), (80, "\n1 Introduction\nmore", 80)])
+def test_an_abstract_has_80_characters_after_its_marks(spark, length, rest, found):
+    got = one(spark, T.abstract(F.col("v")), v="Abstract: \n" + "x" * length + rest)
+    assert (got and len(got)) == found
+
+
 @pytest.mark.parametrize("size,overlap", [(60, 15), (200, 50), (1200, 200)])
 def test_recursive_chunks(size, overlap):
     rng = random.Random(size)
