@@ -84,6 +84,21 @@ def test_recursive_chunks(size, overlap):
     assert C.split_text("", size, overlap) == [] and C.split_text(" \n ", size, overlap) == []
 
 
+@pytest.mark.parametrize(
+    ("lines", "at", "section"),
+    [
+        (["Abstract", "x" * 30, "1 Introduction", "y" * 30, "References", "none"], 42, "references"), (["Abstract", "x" * 30, "1 Introduction", "y" * 200], 42, "introduction"), (["Abstract", "x" * 30, "1 Introduction", "y" * 30, "References", "none"], 40, "introduction"),
+        (["Abstract", "x" * 30, "   Introduction", "y" * 30, "References", "none"], 43, "introduction"), (["Introduction", "this is our", "model results", "x"], 31, "method"), (["a model", "x"], 2, None), (["x", "Results"], 0, "results"),
+    ],
+)
+def test_the_rest_of_a_cut_line_is_no_heading(spark, lines, at, section):
+    text = "\n".join(lines)
+    papers = spark.createDataFrame([("p", text)], "paper_id string, t string")
+    chunks = spark.createDataFrame([("p", 0, at, text[at:])], "paper_id string, idx int, start int, text string")
+    out = C.section_of(chunks, D.heading_marks(papers, "paper_id", "t"), "paper_id", T.heading)
+    assert out.columns == ["paper_id", "idx", "start", "text", "section"] and out.first()["section"] == section
+
+
 def test_hash_embedder_is_deterministic_and_near_for_related_texts():
     a, b, c, zero = C.hash_embedder(256)(["deep learning for speech", "speech with deep learning", "ferry timetables in winter", ""])
     assert abs(float(a @ a) - 1) < 1e-5 and float(a @ b) > float(a @ c) and not zero.any()
