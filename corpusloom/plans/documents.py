@@ -43,7 +43,7 @@ SELECT doc_id, rtrim(nullif(regexp_extract(substr(t, 1, 20000), '(?i)\\b10\\.\\d
   CASE WHEN doc_id % 3 = 0 THEN 2021 ELSE 1990 + doc_id % 30 END AS year, 'Proceedings of the ' || (1990 + doc_id % 30) || ' Workshop' AS venue FROM f""")
 def doc_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("t")
-    return front(spark, sf).select("doc_id", T.doi(t).alias("doi"), T.year(t).alias("year"), T.venue(t).alias("venue"))
+    return front(spark, sf).select("doc_id", T.doi(t).alias("doi"), T.year(t, title_=T.title(t, F.lit(""))).alias("year"), T.venue(t).alias("venue"))
 
 
 @query("""SELECT doc_id, 'A study of item number ' || doc_id AS title, list_value('Ada Lovelace', 'Alan Turing', 'Grace Hopper') AS authors,

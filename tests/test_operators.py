@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import listings as L
 from corpusloom.operators import results as R
 from corpusloom.operators import vectors as V
+from corpusloom.plans import ALL_ORACLE, ALL_QUERIES
 from corpusloom.sources import tables as S
 
 
@@ -64,6 +66,22 @@ def test_names_and_keys(spark):
     assert one(spark, T.latex(F.col("v")), v=r"a&b_c~d^e") == r"a\&b\_c\textasciitilde{}d\textasciicircum{}e"
 
 
+def test_a_number_in_the_title_is_no_year(spark):
+    head = "A study of  item number 2011\nAda Lovelace\nProceedings of the 1991 Workshop"
+    year = lambda text, title: one(spark, T.year(F.col("v"), title_=F.col("t")), v=text, t=title)
+    assert year(head, "A study of item number 2011") == 1991 and year(head, None) == 2011
+    assert year("arXiv:2105.12345\n" + head, "A study of item number 2011") == 2021
+    assert year(head + "\nAbstract\nin 2085", "A study of item number 2011") == 1991 and year("Abstract\nin 2085", None) is None
+    assert one(spark, T.year(F.col("v")), v=head) == 2011
+
+
+def test_doc_identifiers_of_documents_whose_number_is_like_a_year(spark, tmp_path):
+    spark.createDataFrame([(i, f"some text of {i + 10}", "en", "src1", 9) for i in (1949, 2011, 2012, 2014)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["year"] for r in ALL_QUERIES["doc_identifiers"](spark, str(tmp_path)).collect()}
+    duck = duckdb.sql(ALL_ORACLE["doc_identifiers"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert got == {i: y for i, _, y, _ in duck}
+
+
 @pytest.mark.parametrize(("length", "rest", "found"), [(79, "", None), (80, "", 80), (79, "\n1 Introduction\nmore", 99), (80, "\n1 Introduction\nmore", 80)])
 def test_an_abstract_has_80_characters_after_its_marks(spark, length, rest, found):
     got = one(spark, T.abstract(F.col("v")), v="Abstract: \n" + "x" * length + rest)
