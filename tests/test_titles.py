@@ -32,6 +32,24 @@ def test_a_work_is_found_by_doi_then_title_then_words(spark):
     assert sorted(map(tuple, found.select("paper_id", "external_id", "matched_by").collect())) == [("a", "W3", "doi"), ("b", "W1", "title"), ("c", "W3", "words"), ("g", "W1", "doi")]
 
 
+def test_papers_meet_one_work_per_key(spark, monkeypatch):
+    """300 papers and 400 works of one DOI, and of one title, are rows in proportion, not 120,000 pairs."""
+    written = {}
+
+    def spy(df, name="step"):
+        out = kept(df, name)
+        written[name] = out.count()
+        return out
+
+    kept = discovery.cut
+    monkeypatch.setattr(discovery, "cut", spy)
+    works = spark.range(400).selectExpr("concat('W', id + 1) AS external_id", "'one title' AS title", "CASE WHEN id < 200 THEN '10.1/X' END AS doi")
+    papers = spark.range(300).selectExpr("concat('p', id) AS paper_id", "'One, title' AS title", "CASE WHEN id % 2 = 0 THEN '10.1/x' ELSE '10.9/none' END AS doi")
+    found = discovery.find_works(papers, works).groupBy("external_id", "matched_by").count().collect()
+    assert sorted(map(tuple, found)) == [("W1", "doi", 150), ("W1", "title", 150)]
+    assert written["first"] == 2
+
+
 @pytest.mark.parametrize("postings", [0, 3, 12, 40, 5000])
 def test_search_against_counting_every_work(spark, postings):
     works = [(f"W{i}", t, 2000 + i % 20) for i, t in enumerate(some_titles(3, 200))] + [("N", None, None)]
