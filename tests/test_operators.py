@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import duckdb
@@ -18,6 +19,7 @@ from corpusloom.operators import results as R
 from corpusloom.operators import vectors as V
 from corpusloom.plans import ALL_ORACLE, ALL_QUERIES
 from corpusloom.sources import tables as S
+from corpusloom.storage import shared_dir
 
 
 def one(spark, col, **values):
@@ -292,3 +294,30 @@ def test_passages_are_located_as_by_looking_page_by_page(spark, monkeypatch):
         monkeypatch.setattr(V, "AUTOMATON", most)
         assert sorted((r["passage_id"], r["page_no"], r["phrase"], r["offset"], r["found"]) for r in V.locate(df, rows).collect()) == expected
     assert sum(e[4] for e in expected) > 10
+
+
+def tables_in(folder):
+    names = os.listdir(folder.removeprefix("file:")) if os.path.isdir(folder.removeprefix("file:")) else []
+    return set(names)
+
+
+def kinds_of(names):
+    return {name.rsplit("-", 1)[0] for name in names}
+
+
+@pytest.mark.parametrize("pairs", [1, 3, 1_000_000])
+def test_discovery_in_slices_leaves_its_result_only(spark, monkeypatch, pairs):
+    nodes, edges = ASH_NODES, ASH_EDGES
+    entities, adjacent = X.entity_graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
+    start = spark.createDataFrame([("ash",), ("seed",), ("nowhere",)], "id string")
+    whole = sorted(map(str, X.open_discovery(start, entities, adjacent).collect())), sorted(map(str, X.open_diagnostics(start, entities, adjacent).collect()))
+    before = tables_in(shared_dir(spark))
+    monkeypatch.setattr(X, "PAIRS", pairs)
+    assert (sorted(map(str, X.open_discovery(start, entities, adjacent).collect())), sorted(map(str, X.open_diagnostics(start, entities, adjacent).collect()))) == whole
+    assert kinds_of(tables_in(shared_dir(spark)) - before) == {"discovery", "counts"}
+
+
+def test_a_graph_leaves_its_tables_only(spark):
+    before = tables_in(shared_dir(spark))
+    X.entity_graph(spark.createDataFrame(ASH_NODES, NODE), spark.createDataFrame(ASH_EDGES, EDGE))
+    assert kinds_of(tables_in(shared_dir(spark)) - before) == {"alias", "entities", "adjacent"}
