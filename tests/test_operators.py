@@ -321,3 +321,11 @@ def test_a_graph_leaves_its_tables_only(spark):
     before = tables_in(shared_dir(spark))
     X.entity_graph(spark.createDataFrame(ASH_NODES, NODE), spark.createDataFrame(ASH_EDGES, EDGE))
     assert kinds_of(tables_in(shared_dir(spark)) - before) == {"alias", "entities", "adjacent"}
+
+
+def test_closed_discovery_leaves_its_result_only(spark):
+    entities, adjacent = X.entity_graph(spark.createDataFrame(ASH_NODES, NODE), spark.createDataFrame(ASH_EDGES, EDGE))
+    before = tables_in(shared_dir(spark))
+    found = X.closed_discovery(spark.createDataFrame([("ash", "vine"), ("ash", "seed"), ("ash", "nowhere")], "a string, c string"), entities, adjacent)
+    assert sorted((r["a"], r["c"], r["b"], r["a_to_b"], r["b_to_c"], r["already_linked"], tuple(r["shared_papers"])) for r in found.collect()) == [("ash", "vine", "glow", "AFFECTS", "USES", False, ()), ("ash", "vine", "seed", "AFFECTS", "AFFECTS", False, ())]
+    assert kinds_of(tables_in(shared_dir(spark)) - before) == {"closed"}
