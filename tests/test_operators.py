@@ -329,3 +329,16 @@ def test_closed_discovery_leaves_its_result_only(spark):
     found = X.closed_discovery(spark.createDataFrame([("ash", "vine"), ("ash", "seed"), ("ash", "nowhere")], "a string, c string"), entities, adjacent)
     assert sorted((r["a"], r["c"], r["b"], r["a_to_b"], r["b_to_c"], r["already_linked"], tuple(r["shared_papers"])) for r in found.collect()) == [("ash", "vine", "glow", "AFFECTS", "USES", False, ()), ("ash", "vine", "seed", "AFFECTS", "AFFECTS", False, ())]
     assert kinds_of(tables_in(shared_dir(spark)) - before) == {"closed"}
+
+
+def test_a_name_is_worked_out_once(spark, monkeypatch):
+    """Six rows of two spellings, and rows without a name, are folded by two worked-out names."""
+    written, kept = {}, G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name="step": written.setdefault(name, kept(df, name)))
+    entities = spark.createDataFrame([("p1", 1, i, name, "Method", None) for i, name in enumerate(["the BERT [S1]", "BERT", "BERT", None, ""])], "paper_id string, paper_ord int, ord int, name string, type string, description string")
+    relations = spark.createDataFrame([("p1", 1, 0, "BERT", "A title", "uses", None), ("p1", 1, 1, None, "BERT", "uses", None)], "paper_id string, paper_ord int, ord int, source string, target string, type string, evidence string")
+    papers = spark.createDataFrame([("p1", 1, "A title", [])], "paper_id string, paper_ord int, title string, authors array<string>")
+    nodes, edges = G.fold(entities, relations, papers)
+    assert sorted((r["id"], r["name"]) for r in nodes.collect()) == [("entity:bert", "the BERT"), ("paper:p1", "A title")]
+    assert sorted((r["source"], r["target"], r["type"]) for r in edges.collect()) == [("entity:bert", "paper:p1", "USES"), ("paper:p1", "entity:bert", "MENTIONS")]
+    assert sorted(r["raw"] for r in written["names"].collect()) == ["", "A title", "BERT", "the BERT [S1]"]
